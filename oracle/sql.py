@@ -307,12 +307,14 @@ def quoted(names) -> str:
 CTES["wide"] = f"select *, {as_columns({**LAGGED, **ROLLED, **TARGETS})} from silver"
 
 # Forecast: changes of one and two days before, as long rows.
+_back = lambda days: ", ".join(
+    f"lag({CHANGE}, {24 * days - h}) over ({HOURLY})" for h in range(1, 25)
+)
 CTES["steps"] = f"""
-    select a.station_id, a.timestamp as anchor, a.output_flow_rate_mean as base,
-      a.reservoir_level_percentage_last as level0, h, p.{CHANGE} as c1, q.{CHANGE} as c2
-    from silver a, range(1, 25) r(h), silver p, silver q
-    where p.station_id = a.station_id and p.timestamp = a.timestamp + (h - 24) * interval 1 hour
-      and q.station_id = a.station_id and q.timestamp = a.timestamp + (h - 48) * interval 1 hour"""
+    select station_id, timestamp as anchor, output_flow_rate_mean as base,
+      reservoir_level_percentage_last as level0, unnest(range(1, 25)) as h,
+      unnest([{_back(1)}]) as c1, unnest([{_back(2)}]) as c2
+    from silver"""
 CTES["whole_steps"] = """
     select * from steps
     qualify count(c1) over (partition by station_id, anchor) = 24

@@ -32,34 +32,33 @@ def with_paths(hours: DataFrame, coupled: bool = True, base: str = FLOW) -> Data
     """Add ``flow_no_weather`` and ``flow_weather``, 24 hourly flows after each row.
 
     The first is a running sum of changes on the row's own flow. ``coupled``: each weather
-    step starts from the no-weather flow of the hour before; else from its own path.
+    step starts from the no-weather flow of the hour before; else from its own path. A row
+    has both paths or none.
     """
     start = F.col(base)
     steps = F.sequence(F.lit(1), F.lit(HOURS))
-    running = lambda change: F.when(
-        F.col(change).isNotNull() & start.isNotNull(),
-        F.transform(
-            steps, lambda h: F.aggregate(F.slice(change, F.lit(1), h), start, lambda a, x: a + x)
-        ),
+    known = (
+        start.isNotNull()
+        & F.col("change_no_weather").isNotNull()
+        & F.col("change_weather").isNotNull()
     )
-    with_plain = hours.withColumn("flow_no_weather", running("change_no_weather"))
-    if not coupled:
-        return with_plain.withColumn("flow_weather", running("change_weather"))
-    before = lambda h: F.coalesce(F.get("flow_no_weather", h - 2), start)
-    return with_plain.withColumn(
-        "flow_weather",
-        F.when(
-            F.col("flow_no_weather").isNotNull() & F.col("change_weather").isNotNull(),
-            F.transform(steps, lambda h: before(h) + F.element_at("change_weather", h)),
-        ),
+    running = lambda change: F.transform(
+        steps, lambda h: F.aggregate(F.slice(change, F.lit(1), h), start, lambda a, x: a + x)
     )
+    plain = hours.withColumn("flow_no_weather", F.when(known, running("change_no_weather")))
+    if coupled:
+        before = lambda h: F.coalesce(F.get("flow_no_weather", h - 2), start)
+        weather = F.transform(steps, lambda h: before(h) + F.element_at("change_weather", h))
+    else:
+        weather = running("change_weather")
+    return plain.withColumn("flow_weather", F.when(known, weather))
 
 
 def forecast_rows(paths: DataFrame) -> DataFrame:
     """One row per anchor and forecast hour."""
     both = F.arrays_zip("flow_no_weather", "flow_weather")
     return (
-        paths.filter(F.col("flow_no_weather").isNotNull() & F.col("flow_weather").isNotNull())
+        paths.filter(F.col("flow_no_weather").isNotNull())
         .select(STATION, F.col(TS).alias("anchor"), F.posexplode(both).alias("k", "flow"))
         .select(
             STATION,
@@ -92,7 +91,7 @@ def history(silver: DataFrame, anchors: DataFrame, hours: int = HISTORY_HOURS) -
 def forecast_24h(silver: DataFrame, paths: DataFrame) -> DataFrame:
     """72 hours of history and 24 forecast hours for every row with a path."""
     rows = forecast_rows(paths)
-    known = paths.filter(F.col("flow_no_weather").isNotNull() & F.col("flow_weather").isNotNull())
+    known = paths.filter(F.col("flow_no_weather").isNotNull())
     return history(silver, known.select(STATION, F.col(TS).alias("anchor"))).unionByName(rows)
 
 

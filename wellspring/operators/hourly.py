@@ -225,27 +225,38 @@ def _fill_hour_weather(hours: DataFrame, window: int = 10) -> DataFrame:
         .orderBy(*[F.desc(c) for c in order])
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    taken = {}
-    before = F.lit(0)
-    for j in range(1, window):
-        n = F.coalesce(F.lag("n", j).over(w), F.lit(0))
-        taken[f"take_{j}"] = F.greatest(F.lit(0), F.least(n, F.lit(window - 1) - before))
-        before = F.coalesce(F.sum("n").over(w.rowsBetween(-j, -1)), F.lit(0))
-    filled = {}
-    for c in WEATHER:
-        total, known = F.lit(0.0), F.lit(0)
-        for j in range(1, window):
-            value = F.lag(c, j).over(w)
-            total = total + F.coalesce(value * F.col(f"take_{j}"), F.lit(0.0))
-            known = known + F.when(value.isNotNull(), F.col(f"take_{j}")).otherwise(0)
-        filled[c] = F.coalesce(
-            F.col(c), F.try_divide(total, known), F.last(c, True).over(past), F.last(c, True).over(later)
+    hour = F.struct(F.col("n").cast("long").alias("n"), *WEATHER)
+    recent = F.reverse(F.collect_list(hour).over(w.rowsBetween(1 - window, -1)))
+
+    def trailing_mean(c: str) -> Column:
+        start = F.struct(
+            F.lit(window - 1).cast("long").alias("left"),
+            F.lit(0.0).alias("total"),
+            F.lit(0).cast("long").alias("known"),
+        )
+
+        def add(acc: Column, x: Column) -> Column:
+            taken = F.least(acc["left"], x["n"])
+            known = F.when(x[c].isNotNull(), taken).otherwise(0)
+            return F.struct(
+                (acc["left"] - taken).alias("left"),
+                (acc["total"] + F.coalesce(x[c], F.lit(0.0)) * known).alias("total"),
+                (acc["known"] + known).alias("known"),
+            )
+
+        return F.aggregate("recent", start, add, lambda acc: F.try_divide(acc["total"], acc["known"]))
+
+    filled = {
+        f"filled_{c}": F.coalesce(
+            F.col(c), trailing_mean(c), F.last(c, True).over(past), F.last(c, True).over(later)
         )
+        for c in WEATHER
+    }
     return (
-        hours.withColumns(taken)
-        .withColumns({f"filled_{c}": e for c, e in filled.items()})
+        hours.withColumn("recent", recent)
+        .withColumns(filled)
         .withColumns({c: F.col(f"filled_{c}") for c in WEATHER})
-        .drop(*taken, *[f"filled_{c}" for c in WEATHER])
+        .drop("recent", *filled)
     )
 
 

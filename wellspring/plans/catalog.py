@@ -29,7 +29,7 @@ from ..operators.slices import Slices
 from ..schemas import EVENT, FLOW_CHANGE, STATION, TS, WEATHER
 from ..sources import events
 from ..sources.stand_in import with_seasonal_changes
-from ..sources.tables import use_utc
+from ..sources.tables import cut_lineage, use_utc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -94,8 +94,19 @@ def hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_SILVER: dict[tuple[str, str], DataFrame] = {}
+
+
 def silver_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hourly.silver_from_hours(hours(spark, sf_dir))
+    """The silver layer, stored once per application in the shared checkpoint folder.
+
+    What comes after silver reads it as a table, as the jobs do. The ``silver`` query itself
+    always runs from the readings.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SILVER:
+        _SILVER[key] = cut_lineage(hourly.silver_from_hours(hours(spark, sf_dir)))
+    return _SILVER[key]
 
 
 def paths(spark: SparkSession, sf_dir: str, coupled: bool = True) -> DataFrame:
@@ -289,7 +300,7 @@ def hourly_fill(spark, sf_dir):
 
 @query
 def silver(spark, sf_dir):
-    return silver_table(spark, sf_dir)
+    return hourly.silver_from_hours(hours(spark, sf_dir))
 
 
 # --- answers ----------------------------------------------------------------------------
