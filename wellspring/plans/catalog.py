@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -66,15 +65,15 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_calendar_parts(repair.set_up(bronze(spark, sf_dir)))
 
 
-@lru_cache(maxsize=32)
-def _fitted(application: str, sf_dir: str) -> Slices:
-    spark = SparkSession.getActiveSession()
-    return Slices.fit(repair.set_up(bronze(spark, sf_dir)))
+_SLICES: dict[tuple[str, str], Slices] = {}
 
 
 def slices(spark: SparkSession, sf_dir: str) -> Slices:
     """Busy stations of this table, counted once per application."""
-    return _fitted(spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SLICES:
+        _SLICES[key] = Slices.fit(repair.set_up(bronze(spark, sf_dir)))
+    return _SLICES[key]
 
 
 def weather_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -383,9 +382,20 @@ _QUICK = {"maxIter": 3, "maxDepth": 4}
 _QUICK_HORIZONS = (1, 24)
 
 
+_VECTORS: dict[tuple[str, str], DataFrame] = {}
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors over the training set, which is stored once per application like silver."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _VECTORS:
+        stored = cut_lineage(features.training_set(silver_table(spark, sf_dir)))
+        _VECTORS[key] = models.feature_vectors(stored)
+    return _VECTORS[key]
+
+
 def _trained(spark: SparkSession, sf_dir: str, horizons=_QUICK_HORIZONS):
-    vectors = models.feature_vectors(features.training_set(silver_table(spark, sf_dir)))
-    before, after = models.time_split(vectors, TEST_FROM)
+    before, after = models.time_split(_vectors(spark, sf_dir), TEST_FROM)
     return models.train_all(before, horizons, **_QUICK), after
 
 
