@@ -1,8 +1 @@
 """Sensor-telemetry analytics for pumped reservoirs, as Spark DataFrame jobs."""
-
-import sys
-
-from pyspark import cloudpickle
-
-# Grouped functions travel to the executors whole, so the package need not be installed there.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

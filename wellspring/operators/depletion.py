@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.calendar import add_hours, epoch_hour
+from ..sources.shipping import ship
 from ..schemas import STATION, TS
 from .forecast import FLOW, HISTORY_HOURS, HOURS
 from .hourly import hour_range
@@ -89,6 +90,7 @@ def with_depletion(paths: DataFrame) -> DataFrame:
     """
     rows = paths.withColumn("hour_no", epoch_hour(F.col(TS)))
     schema = T.StructType([*paths.schema.fields, *_ADDED])
+    ship(rows.sparkSession)
     return rows.groupBy(STATION).applyInPandas(_run_down, schema)
 
 

@@ -18,6 +18,7 @@ from ..functions.calendar import (
     with_calendar_parts,
 )
 from ..functions.numeric import round2
+from ..sources.shipping import ship
 from ..schemas import (
     COMBINED_COLUMNS,
     DATE_PARTS,
@@ -400,6 +401,7 @@ def fill_recursive(grid: DataFrame) -> DataFrame:
         .withColumn("stretch", F.floor(epoch_micros(F.col("chain_start")) / days))
         .drop("chain_start")
     )
+    ship(staged.sparkSession)
     return staged.groupBy(STATION, "stretch").applyInPandas(_fold, grid.schema)
 
 

@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..sources.shipping import ship
 from ..schemas import STATION, TS
 from .forecast import HOURS
 from .states import forecast_column
@@ -296,6 +297,7 @@ def evolve_schedules(
                 part = batch.iloc[start : start + _CHUNK]
                 yield _evolve(part, rule, population, generations)
 
+    ship(states.sparkSession)
     # The search costs far more than moving the states: spread them evenly first.
     return (
         with_reward_inputs(states.filter(_complete()), reward)

@@ -1,8 +1,9 @@
-"""Parquet tables and Spark session settings."""
+"""Parquet tables, intermediate tables in the shared folder, Spark session settings."""
 
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, types as T
 
@@ -19,17 +20,44 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
 
 
 def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
-    """Overwrite ``path``. The silver table is written with ``partition_by=("year", "month")``."""
+    """Overwrite ``path``. The silver table is written with ``partition_by=("year", "month")``.
+
+    Rows are first dealt out by the partition columns and the station, so that a task opens a
+    few files instead of one for every month.
+    """
+    if partition_by:
+        df = df.repartition(*partition_by, *[c for c in df.columns if c == "station_id"])
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the cluster's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables that driver and executors share.
 
-    A session without a checkpoint folder (a local test) gets a temporary one.
+    The cluster names it in ``spark.checkpoint.dir``. Only a local session, whose tasks run in
+    the driver's process, gets a temporary one; a cluster without a shared folder is an error.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        configured = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="wellspring-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if folder is None:
+            if not context.master.startswith("local") or "cluster" in context.master:
+                raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+            folder = tempfile.mkdtemp(prefix="wellspring-")
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read back.
+
+    Later steps prune columns and rows at the scan, know the size, and survive lost executors.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the cluster's shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
