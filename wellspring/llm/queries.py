@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, quality_classifier, quality_rules, secrets, simhash
+from . import bpe, packing, quality_classifier, quality_rules, secrets, simhash, suffix_dedup
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     return quality_classifier.classified(table(spark, sf_dir, "documents"), labels)
@@ -42,6 +46,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_secret_scan,
         op4_quality_rules,
+        op5_suffix_dedup,
         op6_quality_classifier,
         op7_bpe,
         op8_simhash,
