@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, html_text, packing, quality_classifier, quality_rules, secrets, simhash, suffix_dedup
+from . import ann, bpe, html_text, lm_score, packing, quality_classifier, quality_rules, secrets, simhash, suffix_dedup
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -62,6 +66,7 @@ QUERIES: dict[str, Query] = {
         op7_bpe,
         op8_simhash,
         op9_packing,
+        op10_lm_score,
     )
 }
 
