@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, html_text, lm_score, packing, quality_classifier, quality_rules, secrets, simhash, suffix_dedup
+from . import ann, bpe, html_text, lm_score, packing, quality_classifier, quality_rules, secrets, simhash, sql, suffix_dedup
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,4 +70,7 @@ QUERIES: dict[str, Query] = {
     )
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_secret_scan": sql.secret_scan(),
+    "op4_quality_rules": sql.quality(),
+}
