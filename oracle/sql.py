@@ -291,7 +291,8 @@ for _k in ROLLS:
         )
     for _c in WEATHER:
         ROLLED[f"{_k}_hours_rolling_{SPOKEN[_c]}"] = (
-            f"case when count({_c}) {_w} = {_k} then avg({_c}) {_w} end"
+            f"case when count({_c}) {_w} = {_k} then cast(sum(cast(floor({_c} * 1e9 + 0.5) as bigint)) "
+            f"{_w} as double) / {_k * 1_000_000_000}.0e0 end"
         )
 TARGETS = {f"target_{h}": f"lead({CHANGE}, {h}) over ({HOURLY})" for h in range(1, 25)}
 
@@ -301,7 +302,9 @@ def as_columns(expressions: dict[str, str]) -> str:
 
 
 def quoted(names) -> str:
-    return ", ".join(f'round("{n}", 6) + 0.0 as "{n}"' for n in names)
+    """Rolling weather means come from whole numbers and are not rounded."""
+    exact = {f"{k}_hours_rolling_{c}" for k in ROLLS for c in SPOKEN.values()}
+    return ", ".join(f'"{n}"' if n in exact else f'round("{n}", 6) + 0.0 as "{n}"' for n in names)
 
 
 CTES["wide"] = f"select *, {as_columns({**LAGGED, **ROLLED, **TARGETS})} from silver"
@@ -363,6 +366,15 @@ CTES["searchable"] = f"""
     qualify row_number() over ({HOURLY}) > 72"""
 
 
+def random_rewards() -> str:
+    """Flat rewards of 100 schedules drawn from md5 digits, for every state."""
+    key = "'42-' || station_id || '-' || (epoch_us(timestamp) // 3600000000) || '-' || candidate_id"
+    drawn = f"""(select *, cast('0x' || substr(md5({key}), 1, 6) as bigint) as schedule
+        from searchable, range(0, 100) t(candidate_id)) drawn"""
+    cases = ", ".join(f"({i}, {c})" for i, c in enumerate(CANDIDATES))
+    return rewards("flat").replace(f"searchable, (values {cases}) c(candidate_id, schedule)", drawn)
+
+
 def rewards(reward: str) -> str:
     graded = """case when level <= 800000 then level / 800000 * 50
         else (950000 - level) / 150000 * 50 end"""
@@ -498,6 +510,7 @@ def build() -> dict[str, str]:
       from raw_islands"""
     out["fill_short_islands"] = f"""select {KEY}, {d("reservoir_level_percentage")},
       inputed_reservoir_level from raw_levels"""
+    out["fill_short_islands_sliced"] = out["fill_short_islands"]
     out["fill_pressure"] = f"select {KEY}, {d('pressure')} from pressures"
     out["mass_balance"] = f"""select {KEY}, {d("reservoir_level_liters", "time_passed_seconds", "total_liters_entered", "effective_liters_entered", "total_liters_out", "output_flow_rate")}
       from raw_balance"""
@@ -505,8 +518,10 @@ def build() -> dict[str, str]:
       pump_1, pump_2, {d("output_flow_rate")} from repaired"""
     out["segment_walk"] = f"""select {KEY}, row_idx, {d("reservoir_level_percentage", "input_flow_rate")},
       inputed_reservoir_level from walks"""
-    out["weather_clean"] = f"""select {_weather_out} from weather
-      where make_date(year, month, day) < date '2024-01-16'"""
+    out["weather_clean"] = f"""
+      select {_weather_out}, case when make_date(year, month, day) < date '2024-01-16' then 0 else 1 end as file
+      from weather
+      union all select {_weather_out}, 2 from overlay"""
     out["weather_union"] = f"select {_weather_out} from weather"
     out["weather_overlay"] = f"select {KEY}, {d(*WEATHER)} from raw_weathered"
     out["null_profile"] = f"""select {each("count(*) filter (where {c} is null) as {c}", ["input_flow_rate", "pressure", *WEATHER])}
@@ -519,6 +534,7 @@ def build() -> dict[str, str]:
     out["hourly_grid"] = f"select {_grid_out} from grid"
     out["hourly_fill"] = f"select {_grid_out} from filled_grid"
     out["silver"] = f"select {_silver_out} from silver"
+    out["silver_sliced"] = out["silver"]
     profile_ = """select station_id, hour,
       round(avg(output_flow_rate_mean) filter (where day_of_week < 5), 6) + 0.0 as avg_weekday_output_flow,
       round(avg(output_flow_rate_mean) filter (where day_of_week >= 5), 6) + 0.0 as avg_weekend_output_flow
@@ -543,6 +559,15 @@ def build() -> dict[str, str]:
     out["training_set"] = f"""select station_id, timestamp, hour, day_of_week, week_of_year, year,
       {quoted([*LAGGED, *ROLLED])}, inputed_row, {quoted(TARGETS)} from wide
       where {" and ".join(f'"{n}" is not null' for n in everything)}"""
+    complete = f"""select * from wide where {" and ".join(f'"{n}" is not null' for n in everything)}"""
+    out["evaluation_targets"] = f"""
+      select station_id, cast(row_number() over ({HOURLY}) - 1 as int) as position, timestamp,
+        round(target_1, 6) + 0.0 as target_1
+      from ({complete}) where timestamp >= timestamp '2024-01-21 00:00:00' and not inputed_row"""
+    out["time_split"] = f"""
+      select station_id, count(*) as hours, min(timestamp) as first, max(timestamp) as last,
+        case when timestamp < timestamp '2024-01-21 00:00:00' then 'train' else 'test' end as part
+      from ({complete}) group by station_id, part"""
     out["regression_metrics"] = f"""
       select station_id, {r2("a")} as mae, {r2("m")} as mse, {r2(f"sqrt({r2('m')})")} as rmse,
         {r2("1 - m / s")} as r2
@@ -558,6 +583,11 @@ def build() -> dict[str, str]:
       round(flow, 6) + 0.0 as output_flow_rate_mean_no_weather,
       round(flow, 6) + 0.0 as output_flow_rate_mean_weather from history"""
     out["forecast_path"] = _forecast("weather")
+    out["forecast_requests"] = f"""select * from ({_forecast("weather")}) where hour(anchor) = 1"""
+    out["unmatched_requests"] = """
+      select station_id, timestamp as anchor from silver where hour = 1
+        and (station_id, timestamp) not in (select (station_id, anchor) from paths)
+      union all select station_id, timestamp + interval 6 year from silver where hour = 1"""
     out["forecast_path_own"] = _forecast("own")
     out["real_vs_forecast_split"] = f"""{_forecast("weather")}
       union all
@@ -592,6 +622,10 @@ def build() -> dict[str, str]:
     for reward in ("flat", "raw_outflow", "graded_inflow", "graded"):
         out[f"schedule_reward_{reward}"] = f"""select station_id, timestamp, candidate_id, schedule,
           {d("reward")} from ({rewards(reward)})"""
+    out["best_random_schedule"] = f"""
+      select station_id, timestamp, candidate_id, schedule, {d("reward")} from ({random_rewards()})
+      qualify row_number() over (partition by station_id, timestamp
+        order by reward desc, candidate_id) = 1"""
     out["best_schedule"] = f"""select station_id, timestamp, candidate_id, schedule, {d("reward")}
       from flat_rewards qualify row_number() over (partition by station_id, timestamp
         order by reward desc, candidate_id) = 1"""

@@ -28,7 +28,7 @@ def test_bronze_to_gold(spark, tmp_path):
     requests = spark.createDataFrame(
         [(0, 2024, 1, 15, 13), (0, 2030, 1, 15, 13)], "station_id int, year int, month int, day int, hour int"
     )
-    jobs.schedules_job(spark, at("states"), requests, at("best"), population=6, generations=2)
+    jobs.schedules_job(spark, at("states"), requests, at("best"), candidates=6)
     best = read_table(spark, at("best")).collect()
     # 2030-01-15 is a Tuesday in week 3, 2024-01-15 a Monday in week 3.
     assert sorted(r["timestamp"] for r in best)[0] == dt.datetime(2024, 1, 15, 13)

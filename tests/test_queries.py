@@ -7,14 +7,6 @@ from __spark_entry__ import entry, oracle_sql, queries
 
 SF = "/root/testdata/sf0.001"
 SQL, QUERIES = oracle_sql(), queries()
-NO_SQL = {
-    "segment_walk_hashed",
-    "train_forecast",
-    "model_predictions",
-    "model_evaluation",
-    "model_reload",
-    "evolve_schedules",
-}
 
 
 @pytest.fixture(scope="module")
@@ -22,10 +14,6 @@ def con():
     return connect(SF)
 
 
-def test_all_but_the_random_and_trained_have_sql():
-    assert set(QUERIES) - set(SQL) == NO_SQL and set(SQL) <= set(QUERIES)
-
-
 @pytest.mark.parametrize("name", SQL)
 def test_query(spark, con, name):
     found, info = check(spark, con, SF, name, QUERIES[name], SQL[name])

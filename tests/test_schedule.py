@@ -53,14 +53,8 @@ def test_rewards(some_states, kind):
     candidates = [0, 16777215, 5592405, 12345]
     got = schedule.schedule_rewards(some_states, candidates, kind).toPandas()
     table = {(r.station_id, r.timestamp): r._asdict() for r in some_states.toPandas().itertuples()}
-    inputs = schedule.with_reward_inputs(some_states, kind).select("search").toPandas()
-    search = pd.DataFrame([r.asDict() if hasattr(r, "asDict") else r for r in inputs["search"]])
     bits = np.array([[(c >> h) & 1 for h in range(24)] for c in candidates], dtype=bool)
-    grouped = schedule.population_rewards(
-        np.broadcast_to(bits, (len(search), 4, 24)), search, schedule.REWARDS[kind]
-    )
     assert len(got) == 160
-    assert np.allclose(sorted(got["reward"]), sorted(grouped.ravel()))
     for r in got.itertuples():
         assert np.isclose(r.reward, by_hand(bits[r.candidate_id], table[r.station_id, r.timestamp], kind))
 
@@ -70,26 +64,13 @@ def test_best_schedule_takes_the_first_of_equals(some_states):
     assert set(best["candidate_id"]) == {0}
 
 
-def rows(df):
-    return sorted((r.station_id, r.timestamp, tuple(r.schedule), r.reward) for r in df.collect())
-
-
-def test_evolution_is_stable_and_never_loses_its_best(some_states):
-    evolve = lambda df, g: rows(schedule.evolve_schedules(df, population=10, generations=g))
-    short = evolve(some_states, 2)
-    assert short == evolve(some_states.repartition(7), 2)
-    long = evolve(some_states, 6)
-    assert all(b[3] >= a[3] for a, b in zip(short, long)) and long != short
-    assert all(len(r[2]) == 24 and set(r[2]) <= {0, 1} for r in long)
-
-
-def test_operators_of_the_evolution():
-    draws = schedule.Draws(np.array([1, 2]))
-    picked = schedule.select_parents(np.array([[0.0, 0, 1e9], [5, 5, 5]]), draws, 50)
-    assert (picked[0] == 2).all() and set(picked[1].ravel()) == {0, 1, 2}
-    first, second = np.zeros((2, 30, 24), bool), np.ones((2, 30, 24), bool)
-    children = schedule.crossover(first, second, draws)
-    assert (children[:, 0::2] != children[:, 1::2]).all()
-    assert not children[:, 0::2, 0].any() and children[:, 0::2, -1].all()
-    share = schedule.mutate(np.zeros((2, 200, 24), bool), draws).mean()
-    assert 0.08 < share < 0.12
+def test_best_random_schedule(some_states):
+    best = schedule.best_random_schedule(some_states, 30).collect()
+    again = schedule.best_random_schedule(some_states.repartition(7), 30).collect()
+    assert sorted(best) == sorted(again) and len({r.schedule for r in best}) > 20
+    table = {(r.station_id, r.timestamp): r._asdict() for r in some_states.toPandas().itertuples()}
+    for r in best:
+        hand = by_hand([(r.schedule >> h) & 1 for h in range(24)], table[r.station_id, r.timestamp], "flat")
+        assert np.isclose(r.reward, hand) and 0 <= r.schedule < 1 << 24
+    few = {(r.station_id, r.timestamp): r.reward for r in schedule.best_random_schedule(some_states, 5).collect()}
+    assert all(r.reward >= few[r.station_id, r.timestamp] for r in best)

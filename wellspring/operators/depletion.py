@@ -7,13 +7,13 @@ either level below zero.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import functools
+
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.calendar import add_hours, epoch_hour
-from ..sources.shipping import ship
 from ..schemas import STATION, TS
+from ..sources.tables import stored
 from .forecast import FLOW, HISTORY_HOURS, HOURS
 from .hourly import hour_range
 
@@ -35,49 +35,44 @@ _ADDED = [
 ]
 
 
-def _run_down(rows: pd.DataFrame) -> pd.DataFrame:
-    """All anchors of one station at once, block after block, until none is left running."""
-    hour = rows.pop("hour_no").to_numpy()
-    known = rows[["flow_no_weather", "flow_weather", LEVEL]].notna().all(axis=1).to_numpy()
-    running = np.flatnonzero(known)
-    flow = np.full((2, len(rows), HOURS), np.nan)
-    for v, column in enumerate(("flow_no_weather", "flow_weather")):
-        if len(running):
-            flow[v, running] = np.stack(rows[column].to_numpy()[running])
-    place = {hour[i]: i for i in running}
-
-    out = {f.name: np.full(len(rows), None, dtype=object) for f in _ADDED}
-    source = running
-    level = np.repeat(rows[LEVEL].to_numpy(dtype=float)[None, running], 2, axis=0)
-    elapsed = np.zeros(len(running), dtype=int)
-    crossed = np.zeros(len(running), dtype=bool)
-    before = np.zeros((4, len(running), 0))
-    block = 0
-    while len(running):
-        falls = flow[:, source]
-        path = level[:, :, None] - np.cumsum(falls * PERCENT_PER_FLOW, axis=2)
-        elapsed += (path > 0).any(axis=0).sum(axis=1)
-        shown = np.concatenate([before, np.concatenate([falls, path])], axis=2)
-        below = path[0] < 0
-        for j in np.flatnonzero(below.any(axis=1) & ~crossed):
-            k = below[j].argmax() + 1
-            end = before.shape[2] + k
-            out["empty_after"][running[j]] = block * HOURS + k
-            for name, values in zip(_LAST, shown[:, j, max(end - SHOWN_ROWS, 0) : end]):
-                out[name][running[j]] = values.tolist()
-        crossed |= below.any(axis=1)
-        done = (path[:, :, -1] < 0).any(axis=0)
-        out["time_elapsed"][running[done & crossed]] = elapsed[done & crossed]
-        block += 1
-        following = np.array([place.get(hour[i] + block * HOURS, -1) for i in running])
-        # Without a forecast for the next block the run has no answer.
-        on = ~done & (following >= 0)
-        running, source, level = running[on], following[on], path[:, on, -1]
-        elapsed, crossed, before = elapsed[on], crossed[on], shown[:, on, -HOURS:]
-    unanswered = np.equal(out["time_elapsed"], None)
-    for values in out.values():
-        values[unanswered] = None
-    return rows.assign(**out)
+def _path(falls: str, level: str) -> str:
+    """SQL: the level after each hour of a block."""
+    return f"""aggregate({falls}, named_struct('level', {level}, 'path', cast(array() as array<double>)),
+      (a, f) -> named_struct('level', a.level - f * {PERCENT_PER_FLOW!r}D,
+        'path', concat(a.path, array(a.level - f * {PERCENT_PER_FLOW!r}D))), a -> a.path)"""
+
+
+def _block(running: DataFrame, blocks: DataFrame, number: int) -> DataFrame:
+    """One block of 24 hours for every anchor that is still running and has a forecast there."""
+    level, last = {1: "level_1", 2: "level_2"}, {}
+    for c, now in zip(_LAST, ("falls_1", "falls_2", "path_1", "path_2"), strict=True):
+        shown = f"concat(before_{c}, slice({now}, 1, first_below))" if number else f"slice({now}, 1, first_below)"
+        last[c] = F.expr(f"if(crosses, slice({shown}, greatest(size({shown}) - {SHOWN_ROWS - 1}, 1), {SHOWN_ROWS}), {c})")
+    stepped = (
+        running.join(blocks, [STATION, "block_hour"])
+        .withColumns({f"path_{v}": F.expr(_path(f"falls_{v}", level[v])) for v in (1, 2)})
+        .withColumn("first_below", F.expr("array_position(transform(path_1, x -> x < 0), true)").cast("int"))
+        .withColumn("crosses", (F.col("first_below") > 0) & F.col("empty_after").isNull())
+        .withColumns(last)
+    )
+    above = "size(filter(zip_with(path_1, path_2, (x, y) -> x > 0 or y > 0), x -> x))"
+    return stepped.select(
+        STATION,
+        "hour_no",
+        (F.col("block_hour") + HOURS).alias("block_hour"),
+        *[F.element_at(f"path_{v}", HOURS).alias(f"level_{v}") for v in (1, 2)],
+        (F.col("time_elapsed") + F.expr(above)).cast("int").alias("time_elapsed"),
+        F.when(F.col("crosses"), number * HOURS + F.col("first_below"))
+        .otherwise(F.col("empty_after"))
+        .cast("int")
+        .alias("empty_after"),
+        *_LAST,
+        *[
+            F.col(now).alias(f"before_{c}")
+            for c, now in zip(_LAST, ("falls_1", "falls_2", "path_1", "path_2"), strict=True)
+        ],
+        F.expr(f"path_1[{HOURS - 1}] < 0 or path_2[{HOURS - 1}] < 0").alias("done"),
+    )
 
 
 def with_depletion(paths: DataFrame) -> DataFrame:
@@ -85,13 +80,46 @@ def with_depletion(paths: DataFrame) -> DataFrame:
 
     ``time_elapsed`` counts the hours with either level above zero, ``empty_after`` is the
     hour of the first no-weather level below zero; both null where there is no answer: the
-    forecasts end first, or only the weather level falls below zero. A station has one row
-    per hour (8,784 a year), which bounds a group. There is no limit on the blocks.
+    forecasts end first, or only the weather level falls below zero.
+
+    All anchors go on by one block per round: a join of those still running with the forecasts
+    24 hours later. Only keys, levels and one block travel. Each round is stored; rounds go on
+    until no anchor runs.
     """
     rows = paths.withColumn("hour_no", epoch_hour(F.col(TS)))
-    schema = T.StructType([*paths.schema.fields, *_ADDED])
-    ship(rows.sparkSession)
-    return rows.groupBy(STATION).applyInPandas(_run_down, schema)
+    known = rows.filter(
+        F.col("flow_no_weather").isNotNull() & F.col("flow_weather").isNotNull() & F.col(LEVEL).isNotNull()
+    )
+    blocks = stored(
+        known.select(
+            STATION,
+            F.col("hour_no").alias("block_hour"),
+            F.col("flow_no_weather").alias("falls_1"),
+            F.col("flow_weather").alias("falls_2"),
+        )
+    )
+    empty = F.lit(None).cast("array<double>")
+    running = known.select(
+        STATION,
+        "hour_no",
+        F.col("hour_no").alias("block_hour"),
+        F.col(LEVEL).alias("level_1"),
+        F.col(LEVEL).alias("level_2"),
+        F.lit(0).alias("time_elapsed"),
+        F.lit(None).cast("int").alias("empty_after"),
+        *[empty.alias(c) for c in _LAST],
+        *[empty.alias(f"before_{c}") for c in _LAST],
+    )
+    answers, number = [], 0
+    while True:
+        step = stored(_block(running, blocks, number))
+        answers.append(step.filter(F.col("done") & F.col("empty_after").isNotNull()))
+        running, number = step.filter(~F.col("done")).drop("done"), number + 1
+        if running.isEmpty():
+            break
+    added = [f.name for f in _ADDED]
+    answered = functools.reduce(DataFrame.unionByName, answers).select(STATION, "hour_no", *added)
+    return rows.join(answered, [STATION, "hour_no"], "left").select(*paths.columns, *added)
 
 
 def time_to_empty(depleted: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 from ..functions.calendar import epoch_hour
 from ..schemas import FLOW_CHANGE, HOUR_CHANGES, MEASURE_STATS, PUMP_SECONDS, STATION, TS, WEATHER
 
+# Hours back of the lags, and lengths of the rolling windows.
 LAGS = (1, 2, 3, 6, 12, 24, 26, 48, 72)
 ROLLS = (2, 3, 6, 12, 24, 36, 48, 72)
 HORIZONS = tuple(range(1, 25))
@@ -37,6 +38,10 @@ def _roll_name(column: str, k: int) -> str:
     return f"{k}_hours_rolling_{WEATHER_FEATURE.get(column, column)}"
 
 
+def rolling_weather_names() -> list[str]:
+    return [_roll_name(c, k) for k in ROLLS for c in WEATHER]
+
+
 def feature_names(with_weather: bool = True) -> list[str]:
     """222 features with weather, 171 without."""
     use = lambda columns: [c for c in columns if with_weather or c not in WEATHER]
@@ -75,16 +80,29 @@ def _lags(w: WindowSpec) -> dict[str, Column]:
     return {_lag_name(c, k): F.lag(c, k).over(w) for k in LAGS for c in _LAGGED}
 
 
+# Weather is added up in whole billionths: sums of integers don't depend on their order.
+UNITS = 1_000_000_000
+
+
+def _running(w: WindowSpec) -> dict[str, Column]:
+    """Known values and, for weather, their sum from the block's first hour on."""
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    counts = {f"known_{c}": F.count(c).over(so_far) for c in [*_ROLLED_CHANGE, *WEATHER]}
+    units = lambda c: F.floor(F.col(c) * UNITS + 0.5).cast("long")
+    return counts | {f"units_{c}": F.sum(units(c)).over(so_far) for c in WEATHER}
+
+
 def _rolls(w: WindowSpec) -> dict[str, Column]:
-    """Null unless the window is full and free of nulls."""
+    """Null unless the window is full and free of nulls. Reads the columns of ``_running``."""
     out = {}
+    within = lambda c, k: F.col(c) - F.coalesce(F.lag(c, k).over(w), F.lit(0))
     for k in ROLLS:
-        frame = w.rowsBetween(1 - k, 0)
-        full = lambda c: F.count(c).over(frame) == k
+        full = lambda c: within(f"known_{c}", k) == k
         for c in _ROLLED_CHANGE:
             out[_roll_name(c, k)] = F.when(full(c), F.col(c) - F.lag(c, k - 1).over(w))
         for c in WEATHER:
-            out[_roll_name(c, k)] = F.when(full(c), F.avg(c).over(frame))
+            mean = within(f"units_{c}", k).cast("double") / float(k * UNITS)
+            out[_roll_name(c, k)] = F.when(full(c), mean)
     return out
 
 
@@ -93,13 +111,14 @@ def _leads(w: WindowSpec) -> dict[str, Column]:
 
 
 def _extended(silver: DataFrame, before: int, after: int, columns, block_hours: int) -> DataFrame:
-    added = columns(_block_window())
-    halo = with_hour_halo(silver, before, after, block_hours)
+    w = _block_window()
+    running = _running(w) if before >= max(ROLLS) else {}
+    halo = with_hour_halo(silver, before, after, block_hours).withColumns(running)
     # One select for all columns: hundreds of withColumn calls are slow to analyse.
     return (
-        halo.select("*", *[c.alias(n) for n, c in added.items()])
+        halo.select("*", *[c.alias(n) for n, c in columns(w).items()])
         .filter("own")
-        .drop("own", "block")
+        .drop("own", "block", *running)
     )
 
 

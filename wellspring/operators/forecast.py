@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.calendar import add_hours, timestamp_of
 from ..schemas import STATION, TS
-from .hourly import hour_range
+from .features import with_hour_halo
 
 HOURS = 24
 HISTORY_HOURS = 72
@@ -72,27 +72,46 @@ def forecast_rows(paths: DataFrame) -> DataFrame:
 
 
 def history(silver: DataFrame, anchors: DataFrame, hours: int = HISTORY_HOURS) -> DataFrame:
-    """The ``hours`` hours up to and including each anchor; the flow under both names."""
-    wanted = anchors.select(
-        STATION,
-        "anchor",
-        F.explode(hour_range(add_hours(F.col("anchor"), 1 - hours), F.col("anchor"))).alias(TS),
+    """The ``hours`` hours up to and including each anchor; the flow under both names.
+
+    Each hour gathers its own last hours as an array, in blocks with a halo; only the arrays of
+    anchors are kept, and they become rows last.
+    """
+    w = Window.partitionBy(STATION, "block").orderBy(TS).rowsBetween(1 - hours, 0)
+    gathered = (
+        with_hour_halo(silver.select(STATION, TS, FLOW), before=hours - 1, after=0)
+        .withColumn("last", F.collect_list(F.struct(F.col(TS), F.col(FLOW).alias("flow"))).over(w))
+        .filter("own")
+        .select(STATION, F.col(TS).alias("anchor"), "last")
     )
-    return wanted.join(silver.select(STATION, TS, FLOW), [STATION, TS]).select(
-        STATION,
-        "anchor",
-        TS,
-        F.col(FLOW).alias(f"{FLOW}_no_weather"),
-        F.col(FLOW).alias(f"{FLOW}_weather"),
-        F.lit(False).alias("forecasted"),
+    return (
+        gathered.join(anchors.select(STATION, "anchor"), [STATION, "anchor"], "left_semi")
+        .select(STATION, "anchor", F.inline("last"))
+        .select(
+            STATION,
+            "anchor",
+            TS,
+            F.col("flow").alias(f"{FLOW}_no_weather"),
+            F.col("flow").alias(f"{FLOW}_weather"),
+            F.lit(False).alias("forecasted"),
+        )
     )
 
 
-def forecast_24h(silver: DataFrame, paths: DataFrame) -> DataFrame:
-    """72 hours of history and 24 forecast hours for every row with a path."""
+def forecast_24h(silver: DataFrame, paths: DataFrame, hours: int = HISTORY_HOURS) -> DataFrame:
+    """``hours`` hours of history and 24 forecast hours for every row with a path."""
     rows = forecast_rows(paths)
     known = paths.filter(F.col("flow_no_weather").isNotNull())
-    return history(silver, known.select(STATION, F.col(TS).alias("anchor"))).unionByName(rows)
+    return history(silver, known.select(STATION, F.col(TS).alias("anchor")), hours).unionByName(rows)
+
+
+def forecasts_for(requests: DataFrame, paths: DataFrame) -> DataFrame:
+    """Forecast rows of the requested anchors only (requests by station, year, month, day, hour)."""
+    wanted = anchors_of(requests).distinct()
+    asked = paths.join(
+        wanted, (paths[STATION] == wanted[STATION]) & (paths[TS] == wanted["anchor"]), "left_semi"
+    )
+    return forecast_rows(asked)
 
 
 def last_rows(rows: DataFrame, n: int, by: tuple[str, ...] = (STATION, "anchor")) -> DataFrame:

@@ -1,18 +1,16 @@
-"""Pump schedules for the next 24 hours: rewards, best candidate, evolution.
+"""Pump schedules for the next 24 hours: rewards, best of given and of random candidates.
 
 A schedule is an integer, bit ``h`` is the pump in hour ``h``. A state's candidates are an
-array in the state's row, so scoring and evolving them needs no join and no shuffle.
+array in the state's row, so scoring them needs no join and no shuffle.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..sources.shipping import ship
+from ..functions.calendar import epoch_hour
 from ..schemas import STATION, TS
 from .forecast import HOURS
 from .states import forecast_column
@@ -20,8 +18,6 @@ from .states import forecast_column
 CAPACITY = 1_000_000.0  # liters
 LOW, GOOD, HIGH = 0.2 * CAPACITY, 0.8 * CAPACITY, 0.95 * CAPACITY
 SECONDS_PER_HOUR = 3600
-MUTATION_RATE = 0.1
-_ALL_BITS = (1 << HOURS) - 1
 
 
 @dataclass(frozen=True)
@@ -177,141 +173,29 @@ def best_schedule(states: DataFrame, candidates: list[int], reward: str = "flat"
     )
 
 
-# --- evolution --------------------------------------------------------------------------
-
-_CHUNK = 256  # states worked on at once
-# Constants of the splitmix64 generator.
-_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-_MIX_1 = np.uint64(0xBF58476D1CE4E5B9)
-_MIX_2 = np.uint64(0x94D049BB133111EB)
-
-
-class Draws:
-    """Uniform draws per state that depend only on the state's key and the draw's number."""
-
-    def __init__(self, keys: np.ndarray):
-        self.keys = keys.astype(np.int64).view(np.uint64)
-        self.used = 0
-
-    def take(self, *shape: int) -> np.ndarray:
-        """Draws of shape (states, *shape)."""
-        count = int(np.prod(shape))
-        numbers = np.arange(self.used + 1, self.used + count + 1, dtype=np.uint64)
-        self.used += count
-        x = self.keys[:, None] + numbers * _GOLDEN
-        x = (x ^ (x >> np.uint64(30))) * _MIX_1
-        x = (x ^ (x >> np.uint64(27))) * _MIX_2
-        x ^= x >> np.uint64(31)
-        return ((x >> np.uint64(11)) / float(1 << 53)).reshape(len(self.keys), *shape)
-
-
-def population_rewards(on: np.ndarray, search: pd.DataFrame, rule: RewardRule) -> np.ndarray:
-    """``reward_of`` for an array (states, individuals, 24) of pump bits."""
-    outflow, pump = np.stack(search["outflow"]), np.stack(search["pump"])
-    inflow = search["inflow"].to_numpy()[:, None]
-    level = np.broadcast_to(search["level"].to_numpy()[:, None], on.shape[:2])
-    total = np.broadcast_to(search["depletion"].to_numpy()[:, None], on.shape[:2])
-    for h in range(HOURS):
-        bit = on[:, :, h]
-        leaving = outflow[:, h, None]
-        if rule.pumped == "outflow":
-            level = level + inflow - leaving * bit
-        else:
-            level = level + inflow * bit - leaving
-        inside = 50.0
-        if rule.graded:
-            falling = (HIGH - level) / (0.15 * CAPACITY) * 50
-            inside = np.where(level <= GOOD, level / GOOD * 50, falling)
-        band = np.where((level < LOW) | (level > HIGH), -50.0, inside)
-        total = total + band + bit * pump[:, h, None]
-    return total
-
-
-def select_parents(rewards: np.ndarray, draws: Draws, pairs: int) -> np.ndarray:
-    """Roulette with replacement: positions (states, pairs, 2), weight reward - minimum + 1."""
-    bounds = np.cumsum(rewards - rewards.min(axis=1, keepdims=True) + 1, axis=1)
-    aim = draws.take(pairs * 2) * bounds[:, -1:]
-    chosen = (bounds[:, None, :] <= aim[:, :, None]).sum(axis=2)
-    return np.minimum(chosen, rewards.shape[1] - 1).reshape(-1, pairs, 2)
-
-
-def crossover(first: np.ndarray, second: np.ndarray, draws: Draws) -> np.ndarray:
-    """Two children per pair, cut after hour 1..22."""
-    pairs = first.shape[1]
-    point = 1 + np.floor(draws.take(pairs) * (HOURS - 2))
-    head = np.arange(HOURS) < point[:, :, None]
-    children = np.stack([np.where(head, first, second), np.where(head, second, first)], axis=2)
-    return children.reshape(-1, 2 * pairs, HOURS)
-
-
-def mutate(on: np.ndarray, draws: Draws) -> np.ndarray:
-    return on ^ (draws.take(*on.shape[1:]) < MUTATION_RATE)
-
-
-def _evolve(rows: pd.DataFrame, rule: RewardRule, size: int, generations: int) -> pd.DataFrame:
-    states = np.arange(len(rows))
-    search = pd.DataFrame(rows["search"].tolist())
-    draws = Draws(rows["draw_key"].to_numpy())
-    on = draws.take(size, HOURS) < 0.5
-    best = np.full(len(rows), -np.inf)
-    schedule = np.zeros((len(rows), HOURS), dtype=bool)
-    for _ in range(generations):
-        rewards = population_rewards(on, search, rule)
-        top = rewards.argmax(axis=1)
-        better = rewards[states, top] > best
-        best = np.where(better, rewards[states, top], best)
-        schedule = np.where(better[:, None], on[states, top], schedule)
-        parents = select_parents(rewards, draws, size // 2)
-        first, second = (on[states[:, None], parents[:, :, i]] for i in (0, 1))
-        on = mutate(crossover(first, second, draws), draws)
-    return pd.DataFrame(
-        {
-            STATION: rows[STATION].to_numpy(),
-            TS: rows[TS].to_numpy(),
-            "schedule": list(schedule.astype("int32")),
-            "reward": best,
-        }
+def random_schedules(candidates: int, seed: int) -> Column:
+    """An array of schedules drawn for a state: 24 bits of an md5 of seed, state and number."""
+    state = F.concat_ws("-", F.lit(seed), F.col(STATION), epoch_hour(F.col(TS)))
+    digits = lambda i: F.substring(F.md5(F.concat_ws("-", state, i)), 1, 6)
+    return F.transform(
+        F.sequence(F.lit(0), F.lit(candidates - 1)), lambda i: F.conv(digits(i), 16, 10).cast("long")
     )
 
 
-def evolve_schedules(
-    states: DataFrame,
-    population: int = 100,
-    generations: int = 100,
-    reward: str = "flat",
-    seed: int = 42,
+def best_random_schedule(
+    states: DataFrame, candidates: int = 100, reward: str = "flat", seed: int = 42
 ) -> DataFrame:
-    """Genetic search for all states: best schedule and reward ever seen.
-
-    States are independent, so the search runs on Arrow batches of states wherever Spark
-    placed them. All draws come from a hash of the state: any partitioning and any retry
-    gives the same answer.
-    """
-    rule = REWARDS[reward]
-    station_type = states.schema[STATION].dataType.simpleString()
-    spread = int(states.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def search_batches(batches):
-        for batch in batches:
-            for start in range(0, len(batch), _CHUNK):
-                part = batch.iloc[start : start + _CHUNK]
-                yield _evolve(part, rule, population, generations)
-
-    ship(states.sparkSession)
-    # The search costs far more than moving the states: spread them evenly first.
+    """The best of ``candidates`` random schedules of each state, scored within its row."""
+    best = _best(_scored(F.col("drawn"), reward))
     return (
-        with_reward_inputs(states.filter(_complete()), reward)
-        .select(STATION, TS, "search", F.xxhash64(F.lit(seed), STATION, TS).alias("draw_key"))
-        .repartition(spread, STATION, TS)
-        .mapInPandas(
-            search_batches,
-            f"{STATION} {station_type}, {TS} timestamp_ntz, schedule array<int>, reward double",
+        with_reward_inputs(states, reward)
+        .withColumn("drawn", random_schedules(candidates, seed))
+        .select(STATION, TS, best.alias("best"))
+        .select(
+            STATION,
+            TS,
+            (-F.col("best.order")).alias("candidate_id"),
+            F.col("best.schedule").alias("schedule"),
+            F.col("best.reward").alias("reward"),
         )
     )
-
-
-def _complete() -> Column:
-    """States with a level and an inflow; others have no reward to compare."""
-    return F.col("reservoir_level_percentage_mean").isNotNull() & F.col(
-        "input_flow_rate_mean"
-    ).isNotNull()

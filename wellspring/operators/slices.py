@@ -10,7 +10,8 @@ What a slice needs from its neighbours comes in two ways, both exact:
 * ``carried`` brings sums, last and first known values over all earlier or later slices
   (unbounded frames). It works on one summary row per slice.
 
-Without busy stations both are no-ops and the plan is a plain window over ``station_id``.
+Without busy stations both are no-ops and the plan is a plain window over ``station_id``. Readings
+of one station with one and the same timestamp stay together.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from ..functions.calendar import epoch_hour, epoch_micros, epoch_seconds
 from ..schemas import EVENT, STATION, TS
+from ..sources.tables import stored
 
 TIME_ORDER = (TS, EVENT)
 # The order in which missing weather is filled: by day, month, hour, then year.
@@ -30,18 +32,17 @@ _MICROS_PER_HOUR = 3_600_000_000
 
 @dataclass(frozen=True)
 class Slices:
-    """Slice widths in microseconds, for the busy stations only."""
+    """Slice widths in microseconds, a row for each busy station: ``station_id, slice_width,
+    parts`` (about how many slices). None: no station is busy."""
 
-    widths: tuple[tuple[int, int], ...] = ()
+    widths: DataFrame | None = None
 
     @classmethod
-    def fit(
-        cls, readings: DataFrame, max_rows: int = 5_000_000, max_stations: int = 100_000
-    ) -> Slices:
+    def fit(cls, readings: DataFrame, max_rows: int = 5_000_000) -> Slices:
         """Find the stations with more than ``max_rows`` readings.
 
-        The result comes to the driver. Should more than ``max_stations`` be busy, the row
-        limit is raised, so what is collected and broadcast stays bounded.
+        The widths are a small table in the shared folder, joined by station like any other.
+        Only whether it is empty comes to the driver.
         """
         per_station = (
             readings.groupBy(STATION, epoch_hour(F.col(TS)).alias("hour_no"))
@@ -49,19 +50,17 @@ class Slices:
             .groupBy(STATION)
             .agg(F.sum("n").alias("n"), F.max("n").alias("peak"))
         )
-        while True:
-            busy = (
-                per_station.filter(F.col("n") > max_rows).limit(max_stations + 1).collect()
-            )
-            if len(busy) <= max_stations:
-                return cls(
-                    tuple((r[STATION], _width_for(r["peak"], max_rows)) for r in busy)
-                )
-            max_rows *= 4
+        busy = per_station.filter(F.col("n") > max_rows).select(
+            STATION,
+            _width_for(F.col("peak"), max_rows).alias("slice_width"),
+            F.ceil(F.col("n") / max_rows).cast("int").alias("parts"),
+        )
+        widths = stored(busy)
+        return cls() if widths.isEmpty() else cls(widths)
 
     @property
     def whole(self) -> bool:
-        return not self.widths
+        return self.widths is None
 
     @property
     def keys(self) -> list[str]:
@@ -74,11 +73,6 @@ class Slices:
         """Add the slice number; it never falls along ``order``. Null for quiet stations."""
         if self.whole:
             return df
-        spark = df.sparkSession
-        station_type = df.schema[STATION].dataType.simpleString()
-        widths = spark.createDataFrame(
-            list(self.widths), f"{STATION} {station_type}, slice_width long"
-        )
         if order == TIME_ORDER:
             number = F.floor(epoch_micros(F.col(TS)) / F.col("slice_width"))
         else:
@@ -90,9 +84,8 @@ class Slices:
             )
             parts = F.greatest(F.lit(1), F.ceil(F.lit(_MICROS_PER_HOUR) / F.col("slice_width")))
             number = hour_cell * parts + F.floor(in_hour * parts / _MICROS_PER_HOUR)
-        # The widths are collected values, at most fit()'s max_stations of them.
         return (
-            df.join(F.broadcast(widths), STATION, "left")
+            df.join(self.widths.drop("parts"), STATION, "left")
             .withColumn("slice", number)
             .drop("slice_width")
         )
@@ -173,13 +166,13 @@ class Slices:
         return joined.withColumns(added).drop(*[f"{n}_ctx" for n in added])
 
 
-def _width_for(peak_per_hour: int, max_rows: int) -> int:
+def _width_for(peak_per_hour: Column, max_rows: int) -> Column:
     """Microseconds in which the busiest hour's rate gives about ``max_rows`` readings."""
-    hours = max_rows / peak_per_hour
-    if hours >= 1:
-        return min(int(hours), 24 * 365) * _MICROS_PER_HOUR
-    parts = int(1 / hours) + 1
-    return max(_MICROS_PER_HOUR // parts, 1)
+    hours = F.floor(F.lit(max_rows) / peak_per_hour)
+    parts = F.floor(peak_per_hour / F.lit(max_rows)) + 1
+    long_ = F.least(hours, F.lit(24 * 365)) * _MICROS_PER_HOUR
+    short = F.greatest(F.floor(F.lit(_MICROS_PER_HOUR) / parts), F.lit(1))
+    return F.when(hours >= 1, long_).otherwise(short).cast("long")
 
 
 def _type_of(df: DataFrame, column: Column):

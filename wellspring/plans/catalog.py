@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -28,7 +28,7 @@ from ..operators.slices import Slices
 from ..schemas import EVENT, FLOW_CHANGE, STATION, TS, WEATHER
 from ..sources import events
 from ..sources.stand_in import with_seasonal_changes
-from ..sources.tables import cut_lineage, use_utc
+from ..sources.tables import stored_once, use_utc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,6 +37,8 @@ READING_KEY = [STATION, EVENT, TS]
 # Eight schedules to score: off, on, alternating, halves, nights, and mixed ones.
 CANDIDATES = [0, 16777215, 5592405, 4095, 16773120, 63, 12345678, 9876543]
 TEST_FROM = "2024-01-21 00:00:00"
+# Means of whole numbers, alike to the last bit in any engine: rounding could only part them.
+EXACT = set(features.rolling_weather_names())
 
 
 def query(build: Query) -> Query:
@@ -51,6 +53,7 @@ def query(build: Query) -> Query:
 
 def rounded(df: DataFrame) -> DataFrame:
     doubles = {f.name for f in df.schema.fields if f.dataType.typeName() == "double"}
+    doubles -= EXACT
     return df.select(*[tidy(F.col(c)).alias(c) if c in doubles else F.col(c) for c in df.columns])
 
 
@@ -65,15 +68,9 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_calendar_parts(repair.set_up(bronze(spark, sf_dir)))
 
 
-_SLICES: dict[tuple[str, str], Slices] = {}
-
-
-def slices(spark: SparkSession, sf_dir: str) -> Slices:
-    """Busy stations of this table, counted once per application."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _SLICES:
-        _SLICES[key] = Slices.fit(repair.set_up(bronze(spark, sf_dir)))
-    return _SLICES[key]
+def slices(spark: SparkSession, sf_dir: str, max_rows: int = 5_000_000) -> Slices:
+    """Busy stations of this table."""
+    return Slices.fit(repair.set_up(bronze(spark, sf_dir)), max_rows)
 
 
 def weather_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -93,19 +90,24 @@ def hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_SILVER: dict[tuple[str, str], DataFrame] = {}
+def _layer(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    return stored_once(name, events.events(spark, sf_dir), build)
 
 
 def silver_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The silver layer, stored once per application in the shared checkpoint folder.
+    """The silver layer as a stored table.
 
     What comes after silver reads it as a table, as the jobs do. The ``silver`` query itself
     always runs from the readings.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _SILVER:
-        _SILVER[key] = cut_lineage(hourly.silver_from_hours(hours(spark, sf_dir)))
-    return _SILVER[key]
+    return _layer(
+        spark, sf_dir, "silver", lambda: hourly.silver_from_hours(hours(spark, sf_dir))
+    )
+
+
+def training_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    build = lambda: features.training_set(silver_table(spark, sf_dir))
+    return _layer(spark, sf_dir, "training", build)
 
 
 def paths(spark: SparkSession, sf_dir: str, coupled: bool = True) -> DataFrame:
@@ -113,7 +115,9 @@ def paths(spark: SparkSession, sf_dir: str, coupled: bool = True) -> DataFrame:
 
 
 def depleted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return depletion.with_depletion(paths(spark, sf_dir))
+    """Outcomes of the power cut as a stored table; ``time_to_empty`` always runs them anew."""
+    build = lambda: depletion.with_depletion(paths(spark, sf_dir))
+    return _layer(spark, sf_dir, "depleted", build)
 
 
 def searchable(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,6 +162,13 @@ def fill_short_islands(spark, sf_dir):
     return filled.select(*READING_KEY, "reservoir_level_percentage", "inputed_reservoir_level")
 
 
+@query
+def fill_short_islands_sliced(spark, sf_dir):
+    """As above, with every station cut into slices of a few hundred readings."""
+    filled = repair.fill_short_islands(readings(spark, sf_dir), slices(spark, sf_dir, 300))
+    return filled.select(*READING_KEY, "reservoir_level_percentage", "inputed_reservoir_level")
+
+
 @query
 def fill_pressure(spark, sf_dir):
     filled = repair.fill_pressure(readings(spark, sf_dir), slices(spark, sf_dir))
@@ -242,7 +253,11 @@ def segment_walk_hashed(spark, sf_dir):
 
 @query
 def weather_clean(spark, sf_dir):
-    return weather.preprocess_weather(events.weather_files(spark, sf_dir)[0])
+    files = [*events.weather_files(spark, sf_dir), events.weather_overlay_file(spark, sf_dir)]
+    first, *others = [
+        weather.preprocess_weather(f).withColumn("file", F.lit(i)) for i, f in enumerate(files)
+    ]
+    return functools.reduce(DataFrame.unionByName, others, first)
 
 
 @query
@@ -302,6 +317,14 @@ def silver(spark, sf_dir):
     return hourly.silver_from_hours(hours(spark, sf_dir))
 
 
+@query
+def silver_sliced(spark, sf_dir):
+    """As ``silver``, with every station cut into slices of a few hundred readings."""
+    tables = weather_tables(spark, sf_dir)
+    cut = slices(spark, sf_dir, 300)
+    return hourly.silver_from_hours(hourly.hourly_from_bronze(bronze(spark, sf_dir), *tables, cut))
+
+
 # --- answers ----------------------------------------------------------------------------
 
 
@@ -377,52 +400,19 @@ def time_folds(spark, sf_dir):
     return metrics.time_folds(silver_table(spark, sf_dir)).select(STATION, TS, "fold_block")
 
 
-# Small settings keep a smoke run short; a full run uses the defaults and all horizons.
-_QUICK = {"maxIter": 3, "maxDepth": 4}
-_QUICK_HORIZONS = (1, 24)
-
-
-_VECTORS: dict[tuple[str, str], DataFrame] = {}
-
-
-def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors over the training set, which is stored once per application like silver."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _VECTORS:
-        stored = cut_lineage(features.training_set(silver_table(spark, sf_dir)))
-        _VECTORS[key] = models.feature_vectors(stored)
-    return _VECTORS[key]
-
-
-def _trained(spark: SparkSession, sf_dir: str, horizons=_QUICK_HORIZONS):
-    before, after = models.time_split(_vectors(spark, sf_dir), TEST_FROM)
-    return models.train_all(before, horizons, **_QUICK), after
-
-
-@query
-def train_forecast(spark, sf_dir):
-    return models.error_report(*_trained(spark, sf_dir))
-
-
-@query
-def model_predictions(spark, sf_dir):
-    fitted, test = _trained(spark, sf_dir)
-    names = [f"{v}_{h}" for v, h in fitted]
-    return models.predict(fitted, test).select(STATION, TS, *names)
-
-
 @query
-def model_evaluation(spark, sf_dir):
-    return models.evaluation_rows(*_trained(spark, sf_dir, (1,)))
+def evaluation_targets(spark, sf_dir):
+    """What the evaluation table holds besides predictions: real hours of the test period."""
+    _, after = models.time_split(training_table(spark, sf_dir), TEST_FROM)
+    return models.evaluation_keys(after)
 
 
 @query
-def model_reload(spark, sf_dir):
-    fitted, test = _trained(spark, sf_dir, (1,))
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    folder = f"{shared}/models" if shared else tempfile.mkdtemp(prefix="wellspring-models-")
-    models.save_models(fitted, folder)
-    return models.evaluation_rows(models.load_models(folder, (1,)), test)
+def time_split(spark, sf_dir):
+    before, after = models.time_split(training_table(spark, sf_dir), TEST_FROM)
+    counts = F.count("*").alias("hours"), F.min(TS).alias("first"), F.max(TS).alias("last")
+    parts = [df.groupBy(STATION).agg(*counts).withColumn("part", F.lit(p)) for p, df in (("train", before), ("test", after))]
+    return parts[0].unionByName(parts[1])
 
 
 # --- forecast, depletion, states --------------------------------------------------------
@@ -448,10 +438,28 @@ def forecast_path_own(spark, sf_dir):
 
 @query
 def real_vs_forecast_split(spark, sf_dir):
-    rows = forecast.forecast_24h(silver_table(spark, sf_dir), paths(spark, sf_dir))
+    rows = forecast.forecast_24h(silver_table(spark, sf_dir), paths(spark, sf_dir), hours=5)
     return forecast.real_and_forecast(rows)
 
 
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests by year, month, day and hour: every station at one o'clock, this year and long after."""
+    at_one = silver_table(spark, sf_dir).filter("hour = 1").select(STATION, "year", "month", "day", "hour")
+    return at_one.unionByName(at_one.withColumn("year", F.col("year") + 6))
+
+
+@query
+def forecast_requests(spark, sf_dir):
+    return forecast.forecasts_for(requests(spark, sf_dir), paths(spark, sf_dir))
+
+
+@query
+def unmatched_requests(spark, sf_dir):
+    asked = requests(spark, sf_dir)
+    found = forecast.forecasts_for(asked, paths(spark, sf_dir))
+    return forecast.unmatched_anchors(forecast.anchors_of(asked), found)
+
+
 @query
 def depletion_path(spark, sf_dir):
     return depletion.depletion_rows(silver_table(spark, sf_dir), depleted(spark, sf_dir))
@@ -459,7 +467,7 @@ def depletion_path(spark, sf_dir):
 
 @query
 def time_to_empty(spark, sf_dir):
-    return depletion.time_to_empty(depleted(spark, sf_dir))
+    return depletion.time_to_empty(depletion.with_depletion(paths(spark, sf_dir)))
 
 
 @query
@@ -502,6 +510,5 @@ def best_schedule(spark, sf_dir):
 
 
 @query
-def evolve_schedules(spark, sf_dir):
-    evolved = schedule.evolve_schedules(searchable(spark, sf_dir), population=20, generations=10)
-    return evolved.select(STATION, TS, F.concat_ws("", "schedule").alias("schedule"), "reward")
+def best_random_schedule(spark, sf_dir):
+    return schedule.best_random_schedule(searchable(spark, sf_dir))

@@ -17,6 +17,7 @@ from ..operators import (
     models,
     repair,
     schedule,
+    segments,
     states,
     weather,
 )
@@ -32,18 +33,27 @@ def silver_job(
     overlay_file: str | None,
     out: str,
     utc_offset_hours: int = 0,
+    segments_file: str | None = None,
 ) -> None:
-    """Bronze to silver, stored by year and month."""
+    """Bronze to silver, stored by year and month; repair segments are a table too."""
     use_utc(spark)
     bronze = read_table(spark, readings)
     base = weather.weather_union(*[read_table(spark, f) for f in weather_files], utc_offset_hours)
-    overlay = None
+    base, overlay = _unique_hours(base), None
     if overlay_file is not None:
         overlay = weather.preprocess_weather(read_table(spark, overlay_file), utc_offset_hours)
-        base = _unique_hours(base)
         overlay = _unique_hours(overlay)
     slices = Slices.fit(repair.set_up(bronze))
-    write_table(hourly.silver(bronze, base, overlay, slices), out, ("year", "month"))
+    if segments_file is None:
+        table = hourly.silver(bronze, base, overlay, slices)
+    else:
+        plan = read_table(spark, segments_file, segments.SEGMENTS)
+        if not segments.broken_segments(plan).isEmpty():
+            raise ValueError("repair segments that the walk cannot apply")
+        repaired = repair.fix_readings(bronze, plan, slices)
+        joined = hourly.combined_readings(repaired, base, overlay, slices)
+        table = hourly.silver_from_hours(hourly.hourly_agg(joined))
+    write_table(table, out, ("year", "month"))
 
 
 def _unique_hours(table: DataFrame) -> DataFrame:
@@ -89,6 +99,35 @@ def states_job(spark: SparkSession, silver: str, training: str, folder: str, out
     write_table(states.states(depletion.with_depletion(paths)), out)
 
 
+def forecast_job(
+    spark: SparkSession, training: str, folder: str, requests: str, out: str, unmatched: str
+) -> None:
+    """Forecasts of trained models for a table of requests; those without one are reported.
+
+    ``training`` holds the features and the flow of the hours; only requested hours are scored.
+    """
+    asked = read_table(use_utc(spark), requests)
+    anchors = forecast.anchors_of(asked).distinct()
+    rows = read_table(spark, training)
+    rows = rows.join(
+        anchors, (rows[STATION] == anchors[STATION]) & (rows[TS] == anchors["anchor"]), "left_semi"
+    )
+    vectors = models.feature_vectors(rows, keep=(forecast.FLOW,))
+    paths = forecast.with_paths(models.predicted_changes(models.load_models(folder), vectors))
+    write_table(forecast.forecast_rows(paths), out)
+    write_table(forecast.unmatched_anchors(anchors, read_table(spark, out)), unmatched)
+
+
+def search_job(
+    spark: SparkSession, training: str, variant: str, horizon: int, out: str, **search
+) -> None:
+    """The search over time folds: each grid point with its mean error, best first."""
+    vectors = models.feature_vectors(read_table(use_utc(spark), training), (variant,))
+    ranked = models.grid_search(vectors, variant, horizon, **search)
+    rows = [(i, str(params), error) for i, (params, error) in enumerate(ranked)]
+    write_table(spark.createDataFrame(rows, "place int, params string, mae double"), out)
+
+
 def answers_job(spark: SparkSession, silver: str, folder: str) -> None:
     table = _silver(spark, silver)
     usage = answers.pump_peak_usage(table)
@@ -114,4 +153,4 @@ def schedules_job(spark: SparkSession, states_path: str, requests: DataFrame, ou
         F.weekofyear("anchor").alias("week_of_year"),
     )
     found = states.state_lookup(keys, searchable).withColumn(TS, F.col("anchor"))
-    write_table(schedule.evolve_schedules(found, **search), out)
+    write_table(schedule.best_random_schedule(found, **search), out)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
 def use_utc(spark: SparkSession) -> SparkSession:
@@ -57,6 +59,23 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_once(name: str, source: DataFrame, build: Callable[[], DataFrame]) -> DataFrame:
+    """A layer built from ``source``, written when first asked for in an application.
+
+    The table's name holds the row count and a hash of the source's rows: changed rows make a
+    new table, never a stale answer.
+    """
+    spark = source.sparkSession
+    content = F.sum(F.xxhash64(*source.columns).cast("decimal(38,0)"))
+    count, total = source.agg(F.count("*"), content).first()
+    path = f"{shared_folder(spark)}/{name}-{count}-{total}"
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:  # not there yet
+        build().write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the cluster's shared folder."""
     shared_folder(df.sparkSession)
