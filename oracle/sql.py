@@ -411,39 +411,54 @@ def rewards(reward: str) -> str:
 CTES["flat_rewards"] = rewards("flat")
 
 CTES["repair_plan"] = """
-    select station_id, start_row, start_row + len as end_row, direction, low, high, seq, set_flow
+    select station_id, start_row, start_row + len as end_row, direction, low, high, seq, set_flow,
+      set_pump_1, set_pump_2
     from (select station_id, unnest(range(0, cast(floor(count(*) / 100) as bigint) + 1)) as j
           from readings group by station_id) n,
-      lateral (values (j * 100 + 10, 19, -1, 0.005e0, 0.008e0, j * 3, null),
-        (j * 100 + 25, 14, 1, 0.003e0, 0.006e0, j * 3 + 1, 61.03e0),
-        (j * 100 + 40, 2, 0, 0.0e0, 0.0e0, j * 3 + 2, null))
-      s(start_row, len, direction, low, high, seq, set_flow)"""
+      lateral (values (j * 100 + 10, 19, -1, 0.005e0, 0.008e0, j * 3, null, null, null),
+        (j * 100 + 25, 14, 1, 0.003e0, 0.006e0, j * 3 + 1, 61.03e0, null, null),
+        (j * 100 + 40, 2, 0, 0.0e0, 0.0e0, j * 3 + 2, null, 1, 0))
+      s(start_row, len, direction, low, high, seq, set_flow, set_pump_1, set_pump_2)"""
 CTES["raw_numbered"] = CTES["numbered"].replace("from flows", "from readings")
 CTES["raw_islands"] = CTES["islands"].replace("from numbered", "from raw_numbered")
 CTES["raw_levels"] = (
     CTES["levels"].replace("from numbered m", "from raw_numbered m")
     .replace("join numbered", "join raw_numbered").replace("from islands", "from raw_islands")
 )
-CTES["walks"] = f"""
+
+
+def walked(source: str, draw: str) -> str:
+    """Levels of ``source`` with the repair plan applied; ``draw`` is in [0, 1)."""
+    return f"""
     with covered as (
-      select l.*, s.direction, s.set_flow, s.seq,
-        1 + s.direction * (s.low + (s.high - s.low) * ((row_idx * 37 % 100) / 100.0e0)) as factor
-      from raw_levels l left join repair_plan s
+      select l.*, s.direction, s.set_flow, s.set_pump_1, s.set_pump_2, s.seq,
+        1 + s.direction * (s.low + (s.high - s.low) * ({draw})) as factor
+      from {source} l left join repair_plan s
         on s.station_id = l.station_id and l.row_idx between s.start_row and s.end_row
       qualify row_number() over (partition by l.station_id, row_idx order by s.seq desc) = 1),
     chains as (
       select *, sum(case when factor is null then 1 else 0 end) over (partition by station_id
         order by row_idx) as chain from covered)
-    select station_id, event_id, timestamp, row_idx,
+    select * exclude (direction, set_flow, set_pump_1, set_pump_2, seq, factor, chain) replace (
       case when factor is null then reservoir_level_percentage else
         first_value(reservoir_level_percentage) over c * product(coalesce(factor, 1)) over c end
         as reservoir_level_percentage,
       coalesce(set_flow, input_flow_rate) as input_flow_rate,
-      case when direction <> 0 then 1 else inputed_reservoir_level end as inputed_reservoir_level
+      coalesce(set_pump_1, pump_1) as pump_1, coalesce(set_pump_2, pump_2) as pump_2,
+      case when direction <> 0 then 1 else inputed_reservoir_level end as inputed_reservoir_level)
     from chains window c as (partition by station_id, chain order by row_idx
       rows between unbounded preceding and current row)"""
 
 
+DRAW = "('0x' || substr(md5('42-' || l.station_id || '-' || row_idx), 1, 13))::bigint / 4503599627370496.0e0"
+CTES["walks"] = walked("raw_levels", "(row_idx * 37 % 100) / 100.0e0")
+CTES["hashed_walks"] = walked("raw_levels", DRAW)
+CTES["walked_levels"] = walked("levels", DRAW)
+CTES["walked_trailing"] = CTES["trailing_means"].replace("from levels", "from walked_levels")
+CTES["walked_pressures"] = CTES["pressures"].replace("from trailing_means", "from walked_trailing")
+CTES["walked_repaired"] = balance("walked_pressures")
+
+
 def sql(select: str) -> str:
     """The statement with the definitions it needs in front."""
     needed: list[str] = []
@@ -516,8 +531,10 @@ def build() -> dict[str, str]:
       from raw_balance"""
     out["fix_readings"] = f"""select {KEY}, {d("input_flow_rate", "reservoir_level_percentage", "pressure")},
       pump_1, pump_2, {d("output_flow_rate")} from repaired"""
-    out["segment_walk"] = f"""select {KEY}, row_idx, {d("reservoir_level_percentage", "input_flow_rate")},
-      inputed_reservoir_level from walks"""
+    for name, walk in (("segment_walk", "walks"), ("segment_walk_hashed", "hashed_walks")):
+        out[name] = f"""select {KEY}, row_idx, {d("reservoir_level_percentage", "input_flow_rate")},
+          inputed_reservoir_level from {walk}"""
+    out["fix_readings_with_segments"] = out["fix_readings"].replace("repaired", "walked_repaired")
     out["weather_clean"] = f"""
       select {_weather_out}, case when make_date(year, month, day) < date '2024-01-16' then 0 else 1 end as file
       from weather

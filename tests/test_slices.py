@@ -46,6 +46,32 @@ def test_islands(readings, cut):
     same(repair.fill_short_islands(readings), repair.fill_short_islands(readings, cut))
 
 
+def test_profile_joins(readings, cut):
+    """Salted cells give the same rows, and no cell of a busy station stays in one part."""
+    fixed = lambda s: repair.fix_flow_zero(repair.fix_pumps_off(readings, s), s)
+    same(fixed(Slices()), fixed(cut))
+
+
+def test_a_busy_cell_is_split(spark):
+    """Nine of ten readings in one cell: no reduce task gets more than about a slice."""
+    one = with_calendar_parts(repair.set_up(events.bronze_readings(spark, SF)))
+    hot = one.crossJoin(spark.range(30)).withColumn(
+        "event_id", F.col("event_id") * 100 + F.col("id")
+    ).withColumns({"day": F.when(F.col("id") < 27, 3).otherwise(F.col("day")), "hour": F.lit(5)}).drop("id")
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        cut = Slices.fit(hot, max_rows=3000)
+        joined = repair._with_profile(hot, cut)
+        sizes = [r.n for r in joined.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        assert sum(sizes) == hot.count() and max(sizes) < 3 * 3000
+    finally:
+        for c, v in kept.items():
+            spark.conf.set(c, v)
+
+
 def test_pressure_and_balance(readings, cut):
     same(repair.fill_pressure(readings), repair.fill_pressure(readings, cut))
     same(repair.mass_balance(readings), repair.mass_balance(readings, cut))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# 52 bits fill a double's fraction, so every draw is exact.
+# 52 bits (13 hexadecimal digits) fill a double's fraction, so every draw is exact.
 _DRAW_BITS = (1 << 52) - 1
 
 
@@ -31,8 +31,8 @@ def strict_least(*cols: Column) -> Column:
 
 def uniform(seed: int, *key: Column) -> Column:
     """A draw in [0, 1) fixed by the key, so it survives re-partitioning and retries."""
-    bits = F.xxhash64(F.lit(seed), *key).bitwiseAND(F.lit(_DRAW_BITS))
-    return bits / F.lit(float(_DRAW_BITS + 1))
+    digits = F.substring(F.md5(F.concat_ws("-", F.lit(seed), *key)), 1, 13)
+    return F.conv(digits, 16, 10).cast("long") / F.lit(float(_DRAW_BITS + 1))
 
 
 def tidy(c: Column, digits: int = 6) -> Column:

@@ -18,7 +18,6 @@ from ..functions.calendar import (
     with_calendar_parts,
 )
 from ..functions.numeric import round2
-from ..sources.shipping import ship
 from ..schemas import (
     COMBINED_COLUMNS,
     DATE_PARTS,
@@ -35,6 +34,7 @@ from ..schemas import (
 )
 from .fills import moving_average_fill
 from .repair import plausible, repaired_series
+from ..sources.shipping import ship
 from .slices import Slices
 from .weather import attach_weather
 
@@ -402,7 +402,9 @@ def fill_recursive(grid: DataFrame) -> DataFrame:
         .drop("chain_start")
     )
     ship(staged.sparkSession)
-    return staged.groupBy(STATION, "stretch").applyInPandas(_fold, grid.schema)
+    # Dealt out again: the windows above left all stretches of a station in one task.
+    dealt = staged.repartition(STATION, "stretch")
+    return dealt.groupBy(STATION, "stretch").applyInPandas(_fold, grid.schema)
 
 
 def finish_silver(filled: DataFrame) -> DataFrame:

@@ -53,7 +53,25 @@ def pump_profile(readings: DataFrame) -> DataFrame:
     return readings.groupBy(*_CELL).agg(*sums).select(*_CELL, *means)
 
 
-def fix_pumps_off(readings: DataFrame) -> DataFrame:
+def _with_profile(readings: DataFrame, slices: Slices) -> DataFrame:
+    """Each reading with its cell's means. All months share a cell, so the cells of a busy
+    station are large: its readings are dealt to as many parts as it has slices, and its cells
+    are repeated for each part."""
+    profile = pump_profile(readings)
+    if slices.whole:
+        return readings.join(profile, _CELL, "left")
+    parts = slices.widths.select(STATION, "parts")
+    many = F.coalesce("parts", F.lit(1))
+    salted = readings.join(parts, STATION, "left").withColumn(
+        "salt", F.pmod(F.xxhash64(TS, EVENT), many).cast("int")
+    )
+    repeated = profile.join(parts, STATION, "left").withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), many - 1))
+    )
+    return salted.drop("parts").join(repeated.drop("parts"), [*_CELL, "salt"], "left").drop("salt")
+
+
+def fix_pumps_off(readings: DataFrame, slices: Slices = Slices()) -> DataFrame:
     """Both pumps off but water comes in: take the pump state with the nearest inflow."""
     flow = F.col("input_flow_rate")
     odd = _in_state((0, 0)) & (flow > 0)
@@ -63,7 +81,7 @@ def fix_pumps_off(readings: DataFrame) -> DataFrame:
     # A missing profile leaves `nearest` null: no comparison holds and both pumps stay off.
     state_of = lambda name: F.when((nearest == off[name]) | both, 1).otherwise(0)
     return (
-        readings.join(pump_profile(readings), _CELL, "left")
+        _with_profile(readings, slices)
         .withColumns(
             {
                 "pump_1": F.when(odd, state_of("pump_1_avg")).otherwise(F.col("pump_1")),
@@ -75,7 +93,7 @@ def fix_pumps_off(readings: DataFrame) -> DataFrame:
     )
 
 
-def fix_flow_zero(readings: DataFrame) -> DataFrame:
+def fix_flow_zero(readings: DataFrame, slices: Slices = Slices()) -> DataFrame:
     """A pump runs but no water comes in: take the typical inflow of that pump state."""
     odd = ((F.col("pump_1") == 1) | (F.col("pump_2") == 1)) & (F.col("input_flow_rate") == 0)
     flow = F.col("input_flow_rate")
@@ -83,7 +101,7 @@ def fix_flow_zero(readings: DataFrame) -> DataFrame:
     for name, state in _STATES.items():
         typical = F.when(_in_state(state), round2(F.col(name))).otherwise(typical)
     return (
-        readings.join(pump_profile(readings), _CELL, "left")
+        _with_profile(readings, slices)
         .withColumns(
             {
                 "input_flow_rate": F.when(odd, typical).otherwise(flow),
@@ -265,7 +283,7 @@ def repaired_series(bronze: DataFrame, slices: Slices = Slices()) -> DataFrame:
     """
     readings = with_calendar_parts(set_up(bronze))
     raw = readings.select(STATION, TS, EVENT, "reservoir_level_percentage", "pressure")
-    pumps = fix_flow_zero(fix_pumps_off(readings))
+    pumps = fix_flow_zero(fix_pumps_off(readings, slices), slices)
     level, flag = _filled_level(slices)
     filled = (
         slices.with_halo(
@@ -297,7 +315,8 @@ def fix_readings(
         from .segments import walk_segments
 
         readings = with_calendar_parts(set_up(bronze))
-        filled = fill_short_islands(fix_flow_zero(fix_pumps_off(readings)), slices)
+        pumps = fix_flow_zero(fix_pumps_off(readings, slices), slices)
+        filled = fill_short_islands(pumps, slices)
         walked = walk_segments(filled, segments, slices, seed=seed)
         return mass_balance(fill_pressure(walked, slices), slices, max_output, max_input)
     series = _with_pressure_filled(repaired_series(bronze, slices), slices)

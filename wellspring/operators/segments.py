@@ -28,6 +28,8 @@ SEGMENTS = T.StructType(
     ]
 )
 _BLOCK = 10_000
+# About the length of a segment: a reading then meets few segments besides its own.
+_COVER_BLOCK = 128
 
 
 def row_index(readings: DataFrame, slices: Slices = Slices()) -> DataFrame:
@@ -64,8 +66,8 @@ def broken_segments(segments: DataFrame) -> DataFrame:
     return ends_early.unionByName(out_of_turn)
 
 
-def _block(row: str) -> Column:
-    return F.floor(F.col(row) / _BLOCK)
+def _block(row: str, size: int | None = None) -> Column:
+    return F.floor(F.col(row) / (size or _BLOCK))
 
 
 def cover(readings: DataFrame, segments: DataFrame) -> DataFrame:
@@ -74,10 +76,11 @@ def cover(readings: DataFrame, segments: DataFrame) -> DataFrame:
     Segments are cut into blocks of rows, so the join is an equi-join on (station, block).
     """
     cut = segments.withColumn(
-        "block", F.explode(F.sequence(_block("start_row"), _block("end_row")))
+        "block",
+        F.explode(F.sequence(_block("start_row", _COVER_BLOCK), _block("end_row", _COVER_BLOCK))),
     )
     details = [c for c in segments.columns if c != STATION]
-    indexed = readings.withColumn("block", _block("row_idx"))
+    indexed = readings.withColumn("block", _block("row_idx", _COVER_BLOCK))
     inside = F.col("row_idx").between(F.col("start_row"), F.col("end_row"))
     matches = (
         indexed.select(STATION, "block", "row_idx")

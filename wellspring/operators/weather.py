@@ -45,17 +45,21 @@ def duplicate_hours(weather: DataFrame) -> DataFrame:
 def attach_weather(rows: DataFrame, weather: DataFrame, overlay: DataFrame | None = None) -> DataFrame:
     """Left join on the hour; known overlay values replace the joined ones.
 
-    No broadcast hint: Spark broadcasts the weather when its size allows it and otherwise
-    shuffles, where AQE splits a busy hour.
+    The hourly tables are merged first, so the rows are joined once. No broadcast hint: Spark
+    broadcasts the weather when its size allows it and otherwise shuffles, where AQE can split a
+    busy hour because no second join needs the same partitioning.
     """
-    joined = rows.join(weather, WEATHER_KEYS, "left")
-    if overlay is None:
-        return joined
-    measures = [c for c in overlay.columns if c not in WEATHER_KEYS and c in joined.columns]
+    if overlay is not None:
+        weather = _merged(weather, overlay)
+    return rows.join(weather, WEATHER_KEYS, "left")
+
+
+def _merged(weather: DataFrame, overlay: DataFrame) -> DataFrame:
+    measures = [c for c in overlay.columns if c not in WEATHER_KEYS and c in weather.columns]
     renamed = overlay.select(*WEATHER_KEYS, *[F.col(c).alias(f"{c}_new") for c in measures])
     newer: dict[str, Column] = {c: F.coalesce(F.col(f"{c}_new"), F.col(c)) for c in measures}
     return (
-        joined.join(renamed, WEATHER_KEYS, "left")
+        weather.join(renamed, WEATHER_KEYS, "full_outer")
         .withColumns(newer)
         .drop(*[f"{c}_new" for c in measures])
     )

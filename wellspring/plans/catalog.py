@@ -139,14 +139,16 @@ def pump_profile(spark, sf_dir):
 
 @query
 def fix_pumps_off(spark, sf_dir):
-    return repair.fix_pumps_off(readings(spark, sf_dir)).select(
+    cut = slices(spark, sf_dir)
+    return repair.fix_pumps_off(readings(spark, sf_dir), cut).select(
         *READING_KEY, "pump_1", "pump_2", "inputed_pump_status"
     )
 
 
 @query
 def fix_flow_zero(spark, sf_dir):
-    return repair.fix_flow_zero(repair.fix_pumps_off(readings(spark, sf_dir))).select(
+    cut = slices(spark, sf_dir)
+    return repair.fix_flow_zero(repair.fix_pumps_off(readings(spark, sf_dir), cut), cut).select(
         *READING_KEY, "input_flow_rate", "inputed_input_flow_rate"
     )
 
@@ -210,7 +212,7 @@ def repair_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     over the end of the fall, and a hold."""
     counts = readings(spark, sf_dir).groupBy(STATION).agg(F.count("*").alias("n"))
     j = F.col("j")
-    walk = lambda start, end, direction, low, high, seq, flow=None: F.struct(
+    walk = lambda start, end, direction, low, high, seq, flow=None, pumps=(None, None): F.struct(
         (j * 100 + start).alias("start_row"),
         (j * 100 + end).alias("end_row"),
         F.lit(direction).alias("direction"),
@@ -218,18 +220,24 @@ def repair_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(high).alias("high"),
         (j * 3 + seq).cast("int").alias("seq"),
         F.lit(flow).cast("double").alias("set_flow"),
-        F.lit(None).cast("int").alias("set_pump_1"),
-        F.lit(None).cast("int").alias("set_pump_2"),
+        F.lit(pumps[0]).cast("int").alias("set_pump_1"),
+        F.lit(pumps[1]).cast("int").alias("set_pump_2"),
     )
     three = F.array(
         walk(10, 29, -1, 0.005, 0.008, 0),
         walk(25, 39, 1, 0.003, 0.006, 1, 61.03),
-        walk(40, 42, 0, 0.0, 0.0, 2),
+        walk(40, 42, 0, 0.0, 0.0, 2, pumps=(1, 0)),
     )
     per_hundred = counts.withColumn("j", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / 100))))
     return per_hundred.select(STATION, F.inline(three))
 
 
+@query
+def fix_readings_with_segments(spark, sf_dir):
+    plan, cut = repair_plan(spark, sf_dir), slices(spark, sf_dir)
+    return repair.fix_readings(bronze(spark, sf_dir), plan, cut).select(*REPAIRED)
+
+
 def _walked(spark: SparkSession, sf_dir: str, step: Column | None) -> DataFrame:
     filled = repair.fill_short_islands(readings(spark, sf_dir), slices(spark, sf_dir))
     return segments.walk_segments(
