@@ -140,7 +140,10 @@ def with_weights(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
 
 
 def cutoff(weights: np.ndarray, good: np.ndarray, keep: float = KEEP) -> float:
-    """The noisy weight with the best balanced accuracy among those that keep enough good ones."""
+    """A noisy weight with the best balanced accuracy among those that keep enough good ones.
+
+    It lies halfway between the best that goes and the worst that stays.
+    """
     if not good.any():
         return -np.inf
     order = np.argsort(weights, kind="stable")
@@ -150,7 +153,7 @@ def cutoff(weights: np.ndarray, good: np.ndarray, keep: float = KEEP) -> float:
     first = np.r_[True, w[1:] != w[:-1], True]  # a cut never splits ties
     value = np.where(first & (1 - lost >= keep), gone - lost, -1.0)
     i = int(value.argmax())
-    return float(w[i]) if 0 < i < len(w) else -np.inf
+    return float((w[i - 1] + w[i]) / 2) if 0 < i < len(w) else -np.inf
 
 
 def top_k(weighed: DataFrame, threshold: float) -> Column:
