@@ -30,7 +30,7 @@ def _sorted(df: pd.DataFrame) -> pd.DataFrame:
     return df.sort_values(exact + [c for c in df.columns if c not in exact], ignore_index=True)
 
 
-def differences(ours: pd.DataFrame, theirs: pd.DataFrame, tolerance: float = 2e-6) -> list[str]:
+def differences(ours: pd.DataFrame, theirs: pd.DataFrame, tolerance: float = 1e-9) -> list[str]:
     if sorted(ours.columns) != sorted(theirs.columns):
         return [f"columns {set(ours.columns) ^ set(theirs.columns)}"]
     if len(ours) != len(theirs):

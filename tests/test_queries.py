@@ -4,9 +4,13 @@ import pytest
 from compare import check, connect
 
 from __spark_entry__ import entry, oracle_sql, queries
+from oracle.sql import build
+from wellspring.plans import catalog
 
-SF = "/root/testdata/sf0.001"
-SQL, QUERIES = oracle_sql(), queries()
+SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+SQL, QUERIES = build(), catalog.QUERIES
+# Those whose sums and ties need more rows to show a difference.
+AT_LARGER = ["silver", "silver_sliced", "rolling_features", "training_set", "time_to_empty", "fix_readings_with_segments"]
 
 
 @pytest.fixture(scope="module")
@@ -20,5 +24,16 @@ def test_query(spark, con, name):
     assert found == [] and info["rows"] > 0
 
 
+@pytest.mark.parametrize("name", AT_LARGER)
+def test_query_on_more_rows(spark, name):
+    found, info = check(spark, connect(LARGER), LARGER, name, QUERIES[name], SQL[name])
+    assert found == [] and info["rows"] > 0
+
+
+def test_every_query_has_sql_and_is_registered():
+    assert set(QUERIES) == set(SQL)
+    assert set(queries()) >= set(QUERIES) and set(oracle_sql()) >= set(SQL)
+
+
 def test_entry(spark):
     assert entry(spark).count() == 24

@@ -40,6 +40,7 @@ WEATHER_NAMES = {
 }
 WEATHER_DATE_TEXT = "Data"
 WEATHER_HOUR_TEXT = "Hora UTC"
+# Join keys and kept columns of the weather.
 WEATHER_KEYS = ["hour", "day", "month", "year"]
 WEATHER_KEPT = [
     "relative_humidity_percentage",
