@@ -108,6 +108,14 @@ def test_measures(docs, texts):
         assert tuple(found[i][c] for c in quality_rules.MEASURES[:5]) == want, text
 
 
+def test_rules_on_odd_texts(docs, labels, texts):
+    found = by_id(quality_rules.digest(docs.drop(*CLASH), labels))
+    assert len(found) == len(texts)
+    for i, t in enumerate(texts):
+        assert found[i].base_failed or len(re.findall(WORD, t)) >= 50
+        assert not (found[i].base_failed and found[i].kept)
+
+
 def test_binomial_tail_is_exact(spark):
     cases = [(0, 10, 0.1), (3, 400, 0.02), (0, 2000, 0.003), (39, 2000, 0.02), (5, 6, 0.5), (900, 100_000, 0.01)]
     for k, n, p in cases:

@@ -41,13 +41,13 @@ _RATES = (3.0, 2.0, 1.0, 0.5, 0.3, 0.2, 0.1, 0.05, 0.02, 0.01, 0.005)
 _LENGTHS = (20.0, 16.0, 14.0, 12.0, 10.0, 9.0, 8.5, 8.0, 7.5, 7.0, 6.5, 6.25, 6.0)
 
 RULES = (
-    Rule("symbols", "n_symbols / n_words", _RATES),
-    Rule("shouting", "n_shouts / n_words", _RATES),
-    Rule("capitals", "n_capitals / word_chars", _SHARES),
-    Rule("repeat_words", "n_repeat_words / n_words", _SHARES),
-    Rule("dup_lines", "n_dup_lines / n_lines", _SHARES),
-    Rule("long_words", "word_chars / n_words", _LENGTHS),
-    Rule("short_words", "-word_chars / n_words", (-1.0, -1.5, -2.0, -2.5, -3.0, -3.5, -4.0, -4.25)),
+    Rule("symbols", "n_symbols / nullif(n_words, 0)", _RATES),
+    Rule("shouting", "n_shouts / nullif(n_words, 0)", _RATES),
+    Rule("capitals", "n_capitals / nullif(word_chars, 0)", _SHARES),
+    Rule("repeat_words", "n_repeat_words / nullif(n_words, 0)", _SHARES),
+    Rule("dup_lines", "n_dup_lines / nullif(n_lines, 0)", _SHARES),
+    Rule("long_words", "word_chars / nullif(n_words, 0)", _LENGTHS),
+    Rule("short_words", "-word_chars / nullif(n_words, 0)", (-1.0, -1.5, -2.0, -2.5, -3.0, -3.5, -4.0, -4.25)),
 )
 
 MEASURES = (
@@ -98,7 +98,7 @@ def measure(docs: DataFrame, column: str = "text") -> DataFrame:
     measured = {
         "n_words": "__n",
         "word_chars": r"char_length(translate(__text, ' \t\n\u000B\u000C\r', ''))",
-        "n_symbols": _count("__text", "[#*$%&|<>]".strip("[]")),
+        "n_symbols": _count("__text", "#*$%&|<>"),
         "n_dup_lines": "size(__lines) - size(array_distinct(__lines))",
         "n_repeat_words": """aggregate(transform(__at, (x, i) ->
             least(3, coalesce(get(__at, i + 1) - x, 3))), 0, (a, x) -> a + x)""",
@@ -160,12 +160,13 @@ def select_cutoffs(
         )
         for r in RULES
     ]
-    counted = (
+    # A handful of rows from here on: strata x rules x cutoffs.
+    counted = stored(
         held.select(F.col("lang").alias("stratum"), F.explode(F.array(*bins)).alias("b"))
         .groupBy("stratum", "b.rule", "b.above")
         .agg(F.count("*").alias("c"))
     )
-    # A handful of rows from here on: strata x rules x cutoffs.
+    tests = counted.select("stratum").distinct().count() * len(RULES)
     wide = counted.groupBy("stratum", "rule").agg(
         F.map_from_entries(F.collect_list(F.struct("above", "c"))).alias("by"),
         F.sum("c").alias("n"),
@@ -177,10 +178,8 @@ def select_cutoffs(
             for x in (F.lit(r.name), F.array(*[F.lit(c) for c in r.cutoffs]))
         ]
     )
-    strata = wide.select("stratum").distinct().agg(F.count("*").alias("strata"))
     tested = (
-        wide.crossJoin(F.broadcast(strata))  # one row
-        .withColumn("cutoffs", grid[F.col("rule")])
+        wide.withColumn("cutoffs", grid[F.col("rule")])
         .select("*", F.posexplode("cutoffs").alias("i", "cutoff"))
         .withColumn(
             "k",
@@ -189,7 +188,7 @@ def select_cutoffs(
             ),
         )
         .withColumn("p_value", binomial_tail("k", "n", risk / len(RULES)))
-        .withColumn("bar", F.lit(level) / (F.col("strata") * len(RULES)))
+        .withColumn("bar", F.lit(level / max(1, tests)))
     )
     return (
         tested.groupBy("stratum", "rule")
