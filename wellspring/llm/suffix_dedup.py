@@ -19,8 +19,9 @@ are sorted over the whole cluster by range, so that a frequent line spreads over
 few rows of a task whose neighbour may lie in another task are compared in a second round.
 
 Cases: null, empty and short texts have no passage. Rows with one id are one document; rows that
-repeat both id and text share their result. Runs of one repeated word have a minimiser at every
-``window``-th word. Extra columns pass through ``without_repeats``.
+repeat both id and text share their result. Where words come back in short turns (one word, a
+pair of words, over and over) there is a minimiser at every ``window``-th word. Extra columns pass
+through ``without_repeats``.
 """
 
 from __future__ import annotations
@@ -49,9 +50,13 @@ def minimisers(words: Words, min_words: int = MIN_WORDS, gram: int = GRAM) -> tu
     grams = sequences(words.hashes, gram)
     if len(grams) < window:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    # In a run of equal sequences only every window-th one is a candidate.
-    new = np.r_[True, (grams[1:] != grams[:-1]) | (words.rows[1 : len(grams)] != words.rows[: len(grams) - 1])]
-    head = np.maximum.accumulate(np.where(new, np.arange(len(grams)), 0))
+    # Where words repeat in short turns, a sequence comes back within a window. Of a run of such
+    # sequences only every window-th one is a candidate, counted from where the run begins.
+    back = np.zeros(len(grams), bool)
+    for turn in range(1, window):
+        at = np.flatnonzero(grams[turn:] == grams[:-turn])
+        back[at[words.rows[at + turn] == words.rows[at]] + turn] = True
+    head = np.maximum.accumulate(np.where(back, 0, np.arange(len(grams))))
     rank = np.where((np.arange(len(grams)) - head) % window == 0, grams, np.uint64(2**64 - 1))
     # The position in the low bits makes the first of equal sequences the smallest.
     low = np.uint64((1 << len(grams).bit_length()) - 1)
