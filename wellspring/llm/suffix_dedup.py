@@ -1,73 +1,76 @@
-"""Repeated passages across documents, by sparse suffix arrays.
+"""Repeated passages across documents, by sparse windows.
 
-Not every suffix is kept, only those at minimisers: of every ``MIN_WORDS - GRAM + 1`` consecutive
-``GRAM``-word sequences the one with the smallest hash. Each passage of ``MIN_WORDS`` words holds
-a minimiser, chosen by its content alone, so equal passages hold equal ones. Suffixes (the words
-from a minimiser on) are sorted by hash and text, and a suffix is compared with its nearest
-neighbours before and after it that belong to an earlier document; no later neighbour shares
-more words. Matches are extended to the right and, with the words before the minimiser, to the
-left. A passage counts if both sides together have ``MIN_WORDS`` words. Extension never needs
-more than one passage length to each side, since the words beyond have a minimiser of their own.
+A passage is a window of ``MIN_WORDS`` words. Of its ``GRAM``-word sequences the one with the smallest
+hash, the first of equal ones, is its minimiser. It is chosen by the words of the window alone,
+so equal windows hold equal minimisers at equal places, and every window is settled exactly once:
+by its minimiser. Consecutive windows with one minimiser make an anchor: the words that they
+cover, their number, and the minimiser's place.
+
+Anchors with equal words (copies of documents, the inside of long passages) hold equal windows:
+they are settled by a grouped minimum without comparing windows. Windows are hashed one by one
+only for one of each kind of anchor whose minimiser is also that of another kind in another
+document; the smallest document of each window is again a grouped minimum. The repeated windows
+of an anchor overlap, so they are one stretch of words.
 
 The first document (smallest id, null last) keeps a passage, later ones lose it. Repetition
 within a document is left alone.
 
-How it stays bounded: minimisers are narrow rows. Those with equal words all around (copies of
-documents, long passages) are settled by a grouped minimum without comparing texts. Words are
-fetched only for one of each kind that shares its hash with a different surrounding. Suffixes
-are sorted over the whole cluster by range, so that a frequent line spreads over many tasks. The
-few rows of a task whose neighbour may lie in another task are compared in a second round.
+How it stays bounded: anchors are narrow rows, about one for 20 words. Groups are only counted or
+reduced to minima, which Spark does before the shuffle; what a group says goes back to its rows by
+a join of two stored tables, so that AQE can split the rows of a frequent line over many tasks.
+No task holds a group.
 
 Cases: null, empty and short texts have no passage. Rows with one id are one document; rows that
 repeat both id and text share their result. Where words come back in short turns (one word, a
-pair of words, over and over) there is a minimiser at every ``window``-th word. Extra columns pass
-through ``without_repeats``.
+pair of words, over and over) equal anchors of a document that overlap are one row. Extra columns
+pass through ``without_repeats``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import Words, blocks, powers, prepare, sequences, stored
+from .common import Words, blocks, mixed, powers, prepare, sequences, stored
 
 MIN_WORDS = 50
 GRAM = 11
 LAST = 2**63 - 1
 
-ANCHOR = "doc long, rid long, h long, ctx long, pos int, l int, r int"
-ROW = "h long, ctx long, doc long, rid long, lefts string, rights string"
-FOUND = f"mark boolean, l int, r int, source long, {ROW}"
+#: ``pos`` and ``until`` are the first and last place of the minimiser, ``l`` the words before it.
+ANCHOR = "doc long, rid long, h long, ctx long, pos int, until int, l int, n int"
+WINDOW = "h long, ctx long, doc long, w long, i int"
 
 
-def minimisers(words: Words, min_words: int = MIN_WORDS, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (among all words of the block) of minimisers and their hashes."""
+def minimisers(words: Words, min_words: int = MIN_WORDS, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """Minimisers: positions (among all words of the block), hashes, first windows, numbers of windows."""
     window = min_words - gram + 1
     grams = sequences(words.hashes, gram)
     if len(grams) < window:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    # Where words repeat in short turns, a sequence comes back within a window. Of a run of such
-    # sequences only every window-th one is a candidate, counted from where the run begins.
-    back = np.zeros(len(grams), bool)
-    for turn in range(1, window):
-        at = np.flatnonzero(grams[turn:] == grams[:-turn])
-        back[at[words.rows[at + turn] == words.rows[at]] + turn] = True
-    head = np.maximum.accumulate(np.where(back, 0, np.arange(len(grams))))
-    rank = np.where((np.arange(len(grams)) - head) % window == 0, grams, np.uint64(2**64 - 1))
-    # The position in the low bits makes the first of equal sequences the smallest.
-    low = np.uint64((1 << len(grams).bit_length()) - 1)
-    least, span = (rank & ~low) | np.arange(len(grams), dtype=np.uint64), 1
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    # The position in the low bits makes the first of equal sequences the smallest. Half of the
+    # bits are always the hash, so that the choice is the same in every block.
+    low = np.uint64(2**32 - 1)
+    least, span = (grams & ~low) | np.arange(len(grams), dtype=np.uint64), 1
     while 2 * span <= window:
         least, span = np.minimum(least[:-span], least[span:]), 2 * span
     n = len(grams) - window + 1
     least = np.minimum(least[:n], least[window - span :][:n])
-    whole = words.rows[:n] == words.rows[min_words - 1 :][:n]
-    picked = np.unique((least[whole] & low).astype(np.int64))
-    return picked, grams[picked]
+    whole = np.flatnonzero(words.rows[:n] == words.rows[min_words - 1 :][:n])
+    picked, at, count = np.unique((least[whole] & low).astype(np.int64), return_index=True, return_counts=True)
+    return picked, grams[picked], whole[at], count
+
+
+def _sums(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums for hashes of word ranges, and what shifts a range to the beginning."""
+    up, down = powers(len(words.hashes) + 1)
+    sums = np.zeros(len(words.hashes) + 1, np.uint64)
+    np.cumsum(words.hashes * up[: len(words.hashes)], out=sums[1:])
+    return sums, down
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,27 +79,30 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, rids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         for first, last in blocks(batch.column(2)):
             words = Words(batch.column(2).slice(first, last - first))
-            at, hashes = minimisers(words)
+            at, hashes, start, n = minimisers(words)
             if not len(at):
                 continue
-            row = words.rows[at]
-            low, high = words.first[row], words.first[row + 1]
-            left = np.minimum(at - low, MIN_WORDS - GRAM)
-            right = np.minimum(high - at, MIN_WORDS)
-            up, down = powers(len(words.hashes) + 1)
-            sums = np.zeros(len(words.hashes) + 1, np.uint64)
-            np.cumsum(words.hashes * up[: len(words.hashes)], out=sums[1:])
-            around = (sums[at + right] - sums[at - left]) * down[at - left]
-            around = around * np.uint64(8191) + (left * 64 + right).astype(np.uint64)
+            sums, down = _sums(words)
+            around = mixed((sums[start + n - 1 + MIN_WORDS] - sums[start]) * down[start])
+            around = mixed(around + ((at - start) * 64 + n).astype(np.uint64))
+            # Equal anchors of a row that follow within a window cover all words from the first to
+            # the last of them.
+            order = np.lexsort((at, around, hashes, words.rows[at]))
+            keys = np.stack([words.rows[at].astype(np.uint64), hashes, around])[:, order]
+            new = np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0) | (np.diff(at[order]) > MIN_WORDS)]
+            one = order[new]
+            until = at[order[np.r_[np.flatnonzero(new)[1:], len(order)] - 1]]
+            row = words.rows[at[one]]
             yield pa.record_batch(
                 [
                     pa.array(docs[first:last][row]),
                     pa.array(rids[first:last][row]),
-                    pa.array(hashes.view(np.int64)),
-                    pa.array(around.view(np.int64)),
-                    pa.array((at - low).astype(np.int32)),
-                    pa.array(left.astype(np.int32)),
-                    pa.array(right.astype(np.int32)),
+                    pa.array(hashes[one].view(np.int64)),
+                    pa.array(around[one].view(np.int64)),
+                    pa.array((at[one] - words.first[row]).astype(np.int32)),
+                    pa.array((until - words.first[row]).astype(np.int32)),
+                    pa.array((at[one] - start[one]).astype(np.int32)),
+                    pa.array(n[one].astype(np.int32)),
                 ],
                 names,
             )
@@ -112,107 +118,23 @@ def _identified(docs: DataFrame) -> DataFrame:
     )
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words around the wanted positions, each word followed by a space."""
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A hash of each window of the wanted anchors."""
+    names = [c.split()[0] for c in WINDOW.split(", ")]
     for batch in batches:
-        columns: list[list] = [[] for _ in range(6)]
-        for doc, rid, text, wanted in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            words = text.encode().split()
-            for w in wanted:
-                left = words[w["pos"] - w["l"] : w["pos"]]
-                right = words[w["pos"] : w["pos"] + w["r"]]
-                sides = [b"".join(x + b" " for x in s).decode() for s in (left, right)]
-                for column, value in zip(columns, (w["h"], w["ctx"], doc, rid, *sides), strict=True):
-                    column.append(value)
-        kinds = [pa.int64()] * 4 + [pa.string()] * 2
-        names = [c.split()[0] for c in ROW.split(", ")]
-        yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
-
-
-class Suffix:
-    """One sorted row; ``below`` is the nearest row before it with an earlier document."""
-
-    __slots__ = ("row", "doc", "left", "right", "below")
-
-    def __init__(self, row: tuple):
-        self.row, self.doc = row, row[2]
-        self.left, self.right, self.below = row[4].split(" ")[-2::-1], row[5].split(" ")[:-1], None
-
-
-def _shared(a: list[str], b: list[str]) -> int:
-    n = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        n += 1
-    return n
-
-
-def _match(later: Suffix, earlier: Suffix, min_words: int) -> tuple | None:
-    left, right = _shared(later.left, earlier.left), _shared(later.right, earlier.right)
-    return (True, left, right, earlier.doc, *later.row) if left + right >= min_words else None
-
-
-def neighbours(rows: Iterable[tuple], min_words: int = MIN_WORDS, edges: bool = True) -> Iterator[tuple]:
-    """Marks for sorted rows, and (``edges``) the rows whose neighbour may lie in another task.
-
-    A stack holds rows with ascending documents. A new row ends those with later documents: it is
-    their nearest earlier one after them; what is then on top is its own nearest one before it.
-    """
-    stack: list[Suffix] = []
-    current, runs = None, 0
-    for row in rows:
-        if row[0] != current:
-            stack, current, runs = [], row[0], runs + 1
-        new = Suffix(row)
-        while stack and stack[-1].doc > new.doc:
-            if found := _match(stack.pop(), new, min_words):
-                yield found
-        if stack:
-            new.below = stack[-1].below if stack[-1].doc == new.doc else stack[-1]
-        if new.below is not None:
-            if found := _match(new, new.below, min_words):
-                yield found
-        elif edges and runs == 1:
-            yield (False, None, None, None, *row)
-        stack.append(new)
-    if edges:
-        for left in stack:
-            yield (False, None, None, None, *left.row)
-
-
-def _found(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-    fields = [c.split() for c in FOUND.split(", ")]
-    kinds = {"boolean": pa.bool_(), "int": pa.int32(), "long": pa.int64(), "string": pa.string()}
-    schema = pa.schema([(n, kinds[k]) for n, k in fields])
-    portion: list[tuple] = []
-
-    def batch() -> pa.RecordBatch:
-        columns = zip(*portion, strict=True) if portion else [[]] * len(fields)
-        arrays = [pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)]
-        return pa.record_batch(arrays, schema=schema)
-
-    for row in rows:
-        if row[0]:  # a mark needs no words
-            row = (*row[:8], None, None)
-        portion.append(row)
-        if len(portion) == 5000:
-            yield batch()
-            portion = []
-    yield batch()
-
-
-def _first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = (r for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True))
-    yield from _found(neighbours(rows))
-
-
-def _second_round(rows: pd.DataFrame) -> pd.DataFrame:
-    columns = [c.split()[0] for c in ROW.split(", ")]
-    ordered = rows[columns].drop_duplicates().sort_values(["rights", "doc", "rid", "ctx"], key=lambda c: c.map(str.encode) if c.name == "rights" else c)
-    marks = list(neighbours(ordered.itertuples(index=False, name=None), edges=False))
-    names = ["h", "ctx", "doc", "l", "r", "source"]
-    return pd.DataFrame([(m[4], m[5], m[6], m[1], m[2], m[3]) for m in marks], columns=names)
+        for first, last in blocks(batch.column(2)):
+            doc, _, text, wanted = (c.slice(first, last - first) for c in batch.columns)
+            words = Words(text)
+            sums, down = _sums(words)
+            row = np.repeat(np.arange(last - first), pc.list_value_length(wanted).to_numpy())
+            flat = wanted.flatten()
+            h, ctx, pos, before, n = (pc.struct_field(flat, f).to_numpy() for f in ("h", "ctx", "pos", "l", "n"))
+            anchor = np.repeat(np.arange(len(n)), n)
+            i = np.arange(len(anchor)) - (np.cumsum(n) - n)[anchor]
+            at = (words.first[row] + pos - before)[anchor] + i
+            hashes = mixed((sums[at + MIN_WORDS] - sums[at]) * down[at])
+            columns = [h[anchor], ctx[anchor], doc.to_numpy()[row][anchor], hashes.view(np.int64), i.astype(np.int32)]
+            yield pa.record_batch([pa.array(c) for c in columns], names)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -220,36 +142,40 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     prepare(docs.sparkSession)
     named = _identified(docs)
     anchors = stored(named.mapInArrow(_anchors, ANCHOR))
-    place = F.struct("doc", "rid", "pos", "l", "r")
-    classes = anchors.groupBy("h", "ctx").agg(F.min(place).alias("first"), F.max("doc").alias("last"))
-    shared = classes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    # One of each kind of surrounding, where a hash has several.
-    wanted = classes.join(shared.select("h"), "h").select("h", "ctx", "first.*")
+    place = F.struct("doc", "rid", "pos", "l", "n")
+    classes = stored(anchors.groupBy("h", "ctx").agg(F.min(place).alias("first"), F.max("doc").alias("last")))
+    # One anchor of each kind, where a minimiser has several kinds in several documents.
+    several = classes.groupBy("h").agg(F.min("first.doc").alias("a"), F.max("first.doc").alias("b")).where("a < b")
+    wanted = classes.join(stored(several.select("h")), "h").select("h", "ctx", "first.*")
     by_doc = wanted.groupBy("doc", "rid").agg(
-        F.collect_list(F.struct("h", "ctx", "pos", "l", "r")).alias("wanted")
+        F.collect_list(F.struct("h", "ctx", "pos", "l", "n")).alias("wanted")
     )
-    contexts = (
-        named.join(by_doc, ["doc", "rid"]).select("doc", "rid", "text", "wanted").mapInArrow(_contexts, ROW)
+    windows = stored(
+        named.join(by_doc, ["doc", "rid"]).select("doc", "rid", "text", "wanted").mapInArrow(_windows, WINDOW)
     )
-    order = ["h", "rights", "doc", "rid", "ctx"]
-    found = stored(
-        contexts.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_first_round, FOUND)
+    least = windows.groupBy("h", "w").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
+    earlier = stored(least.where("least < most").select("h", "w", "least"))
+    marks = (
+        windows.join(earlier, ["h", "w"])
+        .where("least < doc")
+        .groupBy("h", "ctx")
+        .agg(F.min("i").alias("low"), F.max("i").alias("high"), F.min("least").alias("least"))
     )
-    more = (
-        found.where("not mark")
-        .groupBy("h")
-        .applyInPandas(_second_round, "h long, ctx long, doc long, l int, r int, source long")
+    repeated = stored(
+        classes.join(marks, ["h", "ctx"], "left")
+        .where("last > first.doc or least is not null")
+        .select("h", "ctx", F.col("first.doc").alias("owner"), "low", "high", "least")
+    )
+    # Documents after the first with these words lose all of them, the first its repeated windows.
+    later = F.col("doc") > F.col("owner")
+    start = F.col("pos") - F.col("l") + F.when(later, 0).otherwise(F.col("low"))
+    end = F.col("until") - F.col("l") + F.when(later, F.col("n") - 1).otherwise(F.col("high")) + MIN_WORDS
+    span = F.struct(start.alias("start"), end.alias("end"), F.least("owner", "least").alias("source"))
+    spans = (
+        anchors.join(repeated, ["h", "ctx"])
+        .where(later | F.col("least").isNotNull())
+        .select("doc", "rid", span.alias("s"))
     )
-    marks = found.where("mark").select("h", "ctx", "doc", "l", "r", "source").union(more)
-    copies = classes.where("last > first.doc").select("h", "ctx", F.col("first.doc").alias("source"))
-
-    def spans(left: Column, right: Column) -> list[Column]:
-        start = F.col("a.pos") - left
-        return [F.col("a.doc"), F.col("a.rid"), F.struct(start.alias("start"), (F.col("a.pos") + right).alias("end"), "source").alias("s")]
-
-    a = anchors.alias("a")
-    of_copies = a.join(copies.alias("c"), ["h", "ctx"]).where("a.doc > source").select(*spans(F.col("a.l"), F.col("a.r")))
-    of_marks = a.join(marks.alias("m"), ["h", "ctx"]).where("a.doc = m.doc").select(*spans(F.col("m.l"), F.col("m.r")))
     merged = """aggregate(sort_array(all), cast(array() as array<struct<start:int,end:int,source:bigint>>),
         (acc, x) -> if(size(acc) > 0 and x.start <= element_at(acc, -1).end,
           concat(slice(acc, 1, size(acc) - 1), array(named_struct(
@@ -257,8 +183,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             'source', least(element_at(acc, -1).source, x.source)))),
           concat(acc, array(x))))"""
     return (
-        of_copies.union(of_marks)
-        .groupBy("doc", "rid")
+        spans.groupBy("doc", "rid")
         .agg(F.collect_set("s").alias("all"))
         .select("doc", "rid", F.expr(merged).alias("spans"))
     )
