@@ -53,3 +53,17 @@ def test_anchors_of_short_turns_are_few():
         assert sum(b.num_rows for b in suffix_dedup._anchors(iter([table]))) <= 60
     at, *_ = suffix_dedup.minimisers(Words(pa.array(["a b " * 200, "b a " * 200])))
     assert len(at)
+
+
+def test_a_passage_of_many_openings_is_no_group_of_a_task(spark, monkeypatch):
+    from pyspark.sql.pandas.group_ops import PandasGroupedOpsMixin
+
+    def refuse(*_, **__):
+        raise AssertionError("all rows of a key in one task")
+
+    monkeypatch.setattr(PandasGroupedOpsMixin, "applyInPandas", refuse)
+    rnd = random.Random(12)
+    passage = prose(rnd, 80)
+    texts = [[*prose(rnd, 45), *passage, *prose(rnd, 20)] for _ in range(400)]
+    got, want = cut(spark, texts)
+    assert got == want and all(len(x) >= 80 for i, x in want.items() if i)
