@@ -67,3 +67,21 @@ def test_a_passage_of_many_openings_is_no_group_of_a_task(spark, monkeypatch):
     texts = [[*prose(rnd, 45), *passage, *prose(rnd, 20)] for _ in range(400)]
     got, want = cut(spark, texts)
     assert got == want and all(len(x) >= 80 for i, x in want.items() if i)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_decoys_with_more_words_on_one_side(spark, seed):
+    """An earlier document shares more words after, another one the passage itself."""
+    rnd = random.Random(20 + seed)
+    texts = []
+    for _ in range(60):
+        x, p, s = prose(rnd, 15), prose(rnd, 40), prose(rnd, rnd.randint(3, 30))
+        three = [x + p, p + s, x + p + s]
+        texts += [[*prose(rnd, 60), *t, *prose(rnd, 60)] for t in three]
+    for _ in range(10):
+        long = prose(rnd, 110)
+        for _ in range(8):
+            a = rnd.randrange(50)
+            texts.append([*prose(rnd, 20), *long[a : a + rnd.randint(45, 100)], *prose(rnd, 20)])
+    got, want = cut(spark, texts)
+    assert got == want and sum(map(len, want.values())) > 60 * 55
