@@ -6,7 +6,8 @@ that says what it is for (by its tag, class, id or role). A decision tree, train
 extractor is built on the small labelled table below, says which blocks are main text.
 
 Cases: null and empty pages have empty text. Broken markup (tags not closed, pages cut off) is
-read as far as it goes. Repeated rows each get their result. Extra columns pass through
+read as far as it goes: a head without end tag ends where the body begins, and elements that are
+never text are skipped only if they are closed. Repeated rows each get their result. Extra columns pass through
 ``with_main_text``.
 """
 
@@ -24,8 +25,12 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import blocks, prepare
 
-#: Never text. Their content is skipped up to the end tag.
-SKIPPED = "script style noscript template svg math iframe object select textarea canvas audio video head title"
+#: Plain characters up to the end tag, or else to the end of the page; never text.
+RAW = "script style textarea title"
+#: Never text. Their content is skipped up to their own end tag, if there is one.
+SKIPPED = "noscript template svg math iframe object select canvas audio video"
+#: What can stand in a head. Anything else, or text, ends it.
+HEAD = "base basefont bgsound link meta noframes noscript script style template title head html"
 #: Elements that begin and end a block.
 BLOCK = (
     "address article aside blockquote body button caption center dd details dialog dir div dl dt "
@@ -49,7 +54,7 @@ CHROME_NAMES = (
     "sponsored subscribe taboola teaser toolbar topbar widget complementary alert disclaimer byline meta tags"
 )
 
-_SKIPPED, _BLOCK, _CONTAINER = ({*s.split()} for s in (SKIPPED, BLOCK, CONTAINER))
+_RAW, _SKIPPED, _HEAD, _BLOCK, _CONTAINER = ({*s.split()} for s in (RAW, SKIPPED, HEAD, BLOCK, CONTAINER))
 _CONTENT_TAGS, _CHROME_TAGS = {*CONTENT_TAGS.split()}, {*CHROME_TAGS.split()}
 _CONTENT_NAMES, _CHROME_NAMES = {*CONTENT_NAMES.split()}, {*CHROME_NAMES.split()}
 _HEADINGS = {f"h{i}" for i in range(1, 7)}
@@ -59,6 +64,7 @@ _TAG = re.compile(
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?",
     re.S,
 )
+_RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in _RAW}
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _WORD = re.compile(r"[^\W\d_]+", re.U)
 _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
@@ -89,6 +95,24 @@ def purpose(tag: str, attributes: str) -> int:
     return UNKNOWN
 
 
+def ends(page: str, at: int) -> dict[int, int]:
+    """Where each closed element that is skipped ends, by the place behind its start tag."""
+    found: dict[int, int] = {}
+    going: dict[str, list[int]] = {name: [] for name in _SKIPPED}
+    while m := _TAG.search(page, at):
+        at = m.end()
+        name = (m["name"] or "").lower()
+        if name in _RAW and not m["end"] and not m["rest"].endswith("/"):
+            stop = _RAW_END[name].search(page, at)
+            at = stop.end() if stop else len(page)
+        elif name in _SKIPPED and m["end"]:
+            if going[name]:
+                found[going[name].pop()] = at
+        elif name in _SKIPPED and not m["rest"].endswith("/"):
+            going[name].append(at)
+    return found
+
+
 def flat_blocks(page: str) -> list[Block]:
     """The text blocks of a page in page order."""
     out: list[Block] = []
@@ -96,9 +120,12 @@ def flat_blocks(page: str) -> list[Block]:
     text: list[str] = []
     linked: list[str] = []
     link, tag, at, own = 0, 0, 0, UNKNOWN
+    head, closed = False, None
 
     def add(raw: str) -> None:
-        if raw:
+        nonlocal head
+        head = head and not raw.strip()
+        if raw and not head:
             text.append(raw)
             if link:
                 linked.append(raw)
@@ -126,11 +153,20 @@ def flat_blocks(page: str) -> list[Block]:
         if m["name"] is None:
             continue
         name, end, rest = m["name"].lower(), bool(m["end"]), m["rest"]
-        if name in _SKIPPED and not end and not rest.endswith("/"):
-            stop = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+        if name == "head":
+            head = not end
+        elif name not in _HEAD and (not end or name == "body") or name == "html" and end:
+            head = False
+        if name in _RAW and not end and not rest.endswith("/"):
+            stop = _RAW_END[name].search(page, at)
             at = stop.end() if stop else length
             if name == "title":
                 close()
+        elif name in _SKIPPED:
+            if not end and not rest.endswith("/"):
+                if closed is None:
+                    closed = ends(page, m.start())
+                at = closed.get(at, at)
         elif name == "a":
             link = 0 if end else 1
         elif name == "br":
