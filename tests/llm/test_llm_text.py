@@ -361,7 +361,7 @@ def test_model_is_a_probability():
     assert 0.5 < next_.sum() <= 1 + 1e-6 and next_[1 + more[1:].index("the cat")] > 0.1
 
 
-@pytest.mark.parametrize("name", ["1", "3", "4", "5", "6", "7", "8", "9", "10", "2"])
+@pytest.mark.parametrize("name", ["1", "3", "4", "5", "6", "7", "8", "9", "10", "2", "11", "12", "13"])
 def test_empty_tables(spark, tmp_path, name):
     from wellspring.llm.queries import QUERIES
 

@@ -6,7 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, html_text, lm_score, packing, quality_classifier, quality_rules, secrets, simhash, sql, suffix_dedup
+from . import (
+    ann,
+    bpe,
+    centroids,
+    html_text,
+    lm_score,
+    mixing,
+    packing,
+    quality_classifier,
+    quality_rules,
+    secrets,
+    simhash,
+    sql,
+    suffix_dedup,
+    vector_codes,
+)
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +69,18 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -67,10 +94,16 @@ QUERIES: dict[str, Query] = {
         op8_simhash,
         op9_packing,
         op10_lm_score,
+        op11_vector_codes,
+        op12_source_mix,
+        op13_centroids,
     )
 }
 
 SQL: dict[str, str] = {
     "op1_secret_scan": sql.secret_scan(),
     "op4_quality_rules": sql.quality(),
+    "op11_vector_codes": sql.vector_codes_sql(),
+    "op12_source_mix": sql.mixing_sql(),
+    "op13_centroids": sql.centroids_sql(),
 }

@@ -6,7 +6,7 @@ found by windows, thresholds by summing binomial terms.
 
 from __future__ import annotations
 
-from . import quality_rules, secrets
+from . import centroids, mixing, quality_rules, secrets, vector_codes
 
 
 def _text(s: str) -> str:
@@ -132,3 +132,171 @@ def quality() -> str:
     select doc_id, {measures}, base_failed, not base_failed and failed_rules is null as kept,
       coalesce(failed_rules, '') as failed_rules
     from base left join failed using (rid)"""
+
+
+_SOUND = "embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"
+# Quotient rounded down, for sums of any sign.
+_MEAN = "cast((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) as bigint)"
+
+
+def vector_codes_sql() -> str:
+    """Long tables of components, an unpruned search, one set of CTEs a round."""
+    v = vector_codes
+    rounds = "".join(
+        f""",
+    near{r} as (
+      select rid, p, min(d * {v.ENTRIES} + e) as m from (
+        select rid, p, e, sum((x - y) * (x - y)) as d from comps join book{r} using (p, i) group by all)
+      group by rid, p),
+    mean{r} as (
+      select p, m % {v.ENTRIES} as e, i, {_MEAN} as y from near{r} join comps using (rid, p) group by all),
+    book{r + 1} as (
+      select p, e, i, coalesce(n.y, o.y) as y from book{r} o left join mean{r} n using (p, e, i))"""
+        for r in range(v.ROUNDS)
+    )
+    last = f"book{v.ROUNDS}"
+    return f"""
+    with sound as (select row_number() over () as rid, vec_id, label, embedding as v from embeddings
+      where {_SOUND} and len(embedding) > 0 and len(embedding) % {v.PARTS} = 0),
+    kept as (select * from sound where len(v) = (
+      select len(v) from sound group by 1 order by count(*) desc, 1 limit 1)),
+    comps as (
+      select rid, (k - 1) * {v.PARTS} // len(v) as p, (k - 1) % (len(v) // {v.PARTS}) as i,
+        cast(floor({v.SCALE}::double * v[k]) as bigint) as x
+      from (select rid, v, unnest(range(1, len(v) + 1)) as k from kept)),
+    first as (select rid, row_number() over (order by vec_id nulls last, v) - 1 as e from kept),
+    book0 as (select p, e, i, x as y from first join comps using (rid) where e < {v.ENTRIES}){rounds},
+    final as (
+      select rid, p, min(d * {v.ENTRIES} + e) as m from (
+        select rid, p, e, sum((x - y) * (x - y)) as d from comps join {last} using (p, i) group by all)
+      group by rid, p),
+    coded as (
+      select rid, string_agg(printf('%02x', cast(m % {v.ENTRIES} as int)), '' order by p) as code,
+        cast(sum(m // {v.ENTRIES}) as bigint) as error
+      from final group by rid)
+    select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error,
+      (select sha256(string_agg(y, ',' order by p, e, i)) from {last}) as codebooks_sha256
+    from kept join coded using (rid)"""
+
+
+def centroids_sql() -> str:
+    """The distance to every centroid, one set of CTEs a round."""
+    c = centroids
+    near = lambda r: f"""
+    near{r} as (
+      select rid, min(d * {c.CENTROIDS} + c) as m from (
+        select rid, c, sum((x - y) * (x - y)) as d from comps join cent{r} using (i) group by all)
+      group by rid)"""
+    rounds = "".join(
+        f""",{near(r)},
+    mean{r} as (select m % {c.CENTROIDS} as c, i, {_MEAN} as y from near{r} join comps using (rid) group by all),
+    cent{r + 1} as (select c, i, coalesce(n.y, o.y) as y from cent{r} o left join mean{r} n using (c, i))"""
+        for r in range(c.ROUNDS)
+    )
+    last = c.ROUNDS
+    return f"""
+    with kept as (select row_number() over () as rid, vec_id, embedding as v from embeddings
+      where {_SOUND} and len(embedding) = {c.SIZE}),
+    comps as (
+      select rid, k as i, cast(floor({c.SCALE}::double * v[k]) as bigint) as x
+      from (select rid, v, unnest(range(1, {c.SIZE} + 1)) as k from kept)),
+    first as (select rid, row_number() over (order by sha256('{c.SEED}' || vec_id) nulls last, v) - 1 as c from kept),
+    cent0 as (select c, i, x as y from first join comps using (rid) where c < {c.CENTROIDS}){rounds},{near(last)},
+    hashes as (select c, sha256(string_agg(y, ',' order by i)) as centroid_sha256 from cent{last} group by c),
+    found as (
+      select rid, cast(m % {c.CENTROIDS} as int) as cluster, cast(m // {c.CENTROIDS} as bigint) as distance from near{last})
+    select vec_id, cluster, distance, cast(sum(distance) over (partition by cluster) as bigint) as cluster_inertia,
+      cast(sum(distance) over () as bigint) as inertia, centroid_sha256
+    from kept join found using (rid) join hashes on c = cluster"""
+
+
+#: Levels of the tree of chunks that the SQL spells out: as many as CHUNK ** LEVELS units need.
+LEVELS = 4
+
+
+def mixing_sql() -> str:
+    """Targets from sorted limits and running sums; meetings by recursion along each chunk."""
+    m = mixing
+    hexa = lambda text, n: f"cast('0x' || substr({text}, 1, {n}) as bigint)"
+    docs = 'doc_id, size, alike, more, "full", draw'
+    chunk = "source_size, target, whole, sid, bucket"
+    levels = ""
+    for k in range(LEVELS):
+        levels += f""",
+    row{k} as (
+      select *, {hexa(f"md5('{k}|' || draw)", 13)}::double / {2.0**52!r}::double as odds,
+        row_number() over (partition by sid, bucket order by draw) as pos
+      from open{k}),
+    met{k} as (
+      select {chunk}, pos, {docs}, held, false as goes, null::bigint as x_held, odds from row{k} where pos = 1
+      union all
+      select {", ".join(f"x.{c.strip()}" for c in chunk.split(","))}, x.pos,
+        {", ".join(f"case when goes_ then x.{c.strip()} else a.{c.strip()} end" for c in docs.split(","))},
+        case when goes_ then x.held - moved else a.held + moved end, goes_,
+        case when goes_ then a.held + moved else x.held - moved end, x.odds
+      from (
+        select *, (a.held + moved = 0 or a.held + moved = a."full") as goes_ from (
+          select a, x, case when x.odds * (up + down) < down then up else -down end as moved from (
+            select a, x, least(a."full" - a.held, x.held) as up, least(a.held, x."full" - x.held) as down
+            from met{k} a join row{k} x on x.sid = a.sid and x.bucket = a.bucket and x.pos = a.pos + 1)))),
+    open{k + 1} as (
+      select {chunk.replace("bucket", f"bucket // {m.CHUNK} as bucket")}, {docs}, held from (
+        select *, row_number() over (partition by sid, bucket order by pos desc) as z from met{k}) where z = 1),
+    gone{k} as (
+      select {", ".join(f"a.{c.strip()}" for c in chunk.split(","))},
+        {", ".join(f"case when b.goes then a.{c.strip()} else x.{c.strip()} end as {c.strip()}" for c in docs.split(","))}, b.x_held as held
+      from met{k} b join met{k} a on a.sid = b.sid and a.bucket = b.bucket and b.pos = a.pos + 1
+        join row{k} x on x.sid = b.sid and x.bucket = b.bucket and x.pos = b.pos)"""
+    columns = 'sid, source_size, target, whole, doc_id, size, alike, more, "full", held'
+    united = " union all ".join(
+        [f"select {columns} from shares where not opens"]
+        + [f"select {columns} from gone{k}" for k in range(LEVELS)]
+        + [f"select {columns} from open{LEVELS}"]
+    )
+    weights = "[" + ", ".join(map(str, m.WEIGHTS)) + "]"
+    return rf"""
+    with recursive units as (
+      select source, doc_id, len(regexp_extract_all(coalesce(text, ''), '{m.WORD}')) as size, count(*) as alike
+      from documents group by all),
+    ranked as (
+      select source, cast(sum(size * alike) as bigint) as source_size,
+        row_number() over (order by source nulls last) as sid
+      from units group by source),
+    weighed as (
+      select *, {weights}[(sid - 1) % {len(m.WEIGHTS)} + 1] as weight, {m.MOST} * source_size as most from ranked),
+    sorted as (
+      select *, sum(source_size) over () - coalesce(sum(most) over (o rows between unbounded preceding and 1 preceding), 0) as rest,
+        sum(weight) over (o rows between current row and unbounded following) as weights,
+        row_number() over o as place
+      from weighed window o as (order by most::double / weight, sid)),
+    bar as (select rest, weights, place from sorted where weight * rest <= most * weights order by place limit 1),
+    sources as (
+      select sid, source, source_size, case when s.place < b.place then most::double
+        else weight::double * b.rest::double / b.weights::double end as target
+      from sorted s cross join bar b),
+    copied as (
+      select s.*, doc_id, size, alike, coalesce(least(target / nullif(source_size, 0), {float(m.MOST)!r}::double), 0) as copies,
+        size * {m.UNIT} as "full"
+      from units u join sources s on u.source is not distinct from s.source),
+    shared as (
+      select *, cast(floor(copies) as bigint) as whole,
+        cast(floor((copies - floor(copies)) * size * {float(m.UNIT)!r}::double) as bigint) * alike as share
+      from copied),
+    shares as (
+      select *, case when "full" > 0 then share // "full" else 0 end as more,
+        case when "full" > 0 then share % "full" else 0 end as held,
+        "full" > 0 and share % "full" > 0 as opens,
+        md5(coalesce(source, chr(0)) || '|' || coalesce(cast(doc_id as varchar), '-') || '|' || size) as draw
+      from shared),
+    open0 as (
+      select {chunk.replace("bucket", f"{hexa('draw', 8)} % greatest(1, (select cast(ceil(count(*) / {m.CHUNK}) as bigint) from shares where opens)) as bucket")},
+        {docs}, held
+      from shares where opens){levels},
+    united as ({united}),
+    dealt as (
+      select *, case when r < more then "full" when r = more then held else 0 end as h
+      from (select *, unnest(range(alike)) as r from united))
+    select doc_id, s.source, size, d.source_size, d.target,
+      size * whole + (h + {m.UNIT // 2}) // {m.UNIT} as taken,
+      whole + cast("full" > 0 and h = "full" as int) as copies, h > 0 and h < "full" as partial
+    from dealt d join sources s using (sid)"""
