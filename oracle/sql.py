@@ -513,6 +513,49 @@ _usage = f"""
 CTES["usage"] = _usage
 
 
+BINS = 32
+FEATURES = ["hour", "day_of_week", "week_of_year", "year", *LAGGED, *ROLLED, "inputed_row"]
+WEATHER_WORDS = ("temperature", "precipitation", "humidity")
+_MILLIONTHS = 'round_even("{c}"::double * 1e6, 0) / 1e6'
+
+
+def _grown(complete: str) -> str:
+    """Rows, bins at equal ranks and sums of gradients up to each bin, before the first split."""
+    units = lambda c: f"cast(floor({_MILLIONTHS.format(c=c)} * 65536 + 0.5) as bigint)"
+    return f"""
+      with rows_ as (
+        select row_number() over () as rid, * from ({complete}) where timestamp < timestamp '2024-01-21 00:00:00'),
+      long_ as (
+        select rid, unnest([{", ".join(f"'{n}'" for n in FEATURES)}]) as feature,
+          unnest(range({len(FEATURES)})) as position,
+          unnest([{", ".join(_MILLIONTHS.format(c=n) for n in FEATURES)}]) as x
+        from rows_),
+      borders as (
+        select feature, quantile_disc(x, [{", ".join(f"{k} / {BINS}.0" for k in range(1, BINS))}]) as b
+        from long_ group by feature),
+      bins as (
+        select rid, feature, position, len(list_filter(b, lambda e: e < x)) as bin from long_ join borders using (feature)),
+      goals as (
+        select rid, unnest(range(1, {len(TARGETS) + 1})) as horizon, unnest([{", ".join(units(t) for t in TARGETS)}]) as t
+        from rows_),
+      base as (
+        select horizon, count(*) as n, cast((sum(t) - ((sum(t) % count(*)) + count(*)) % count(*)) // count(*) as bigint) as base
+        from goals group by horizon),
+      gradients as (select rid, horizon, t - base as g, n from goals join base using (horizon)),
+      cells as (
+        select horizon, feature, position, bin, count(*) as c, sum(g) as g, any_value(n) as n
+        from bins join gradients using (rid) group by horizon, feature, position, bin),
+      grid as (
+        select distinct horizon, feature, position, n, bar from cells, (select unnest(range({BINS})) as bar)),
+      lefts as (
+        select horizon, feature, position, n, bar,
+          cast(sum(coalesce(c, 0)) over w as bigint) as left_rows, cast(sum(coalesce(g, 0)) over w as bigint) as left_gradient,
+          cast(sum(coalesce(g, 0)) over (partition by horizon, feature) as bigint) as gradient
+        from (select grid.*, c, g from grid left join cells
+          on cells.horizon = grid.horizon and cells.feature = grid.feature and bin = bar)
+        window w as (partition by horizon, feature order by bar))"""
+
+
 def build() -> dict[str, str]:
     out = {}
     out["recode_calendar"] = f"""select station_id, event_id, timestamp, {d("input_flow_rate", "reservoir_level_percentage", "pressure")},
@@ -585,6 +628,20 @@ def build() -> dict[str, str]:
       select station_id, count(*) as hours, min(timestamp) as first, max(timestamp) as last,
         case when timestamp < timestamp '2024-01-21 00:00:00' then 'train' else 'test' end as part
       from ({complete}) group by station_id, part"""
+    grown = _grown(complete)
+    out["binned_sums"] = f"""select * from ({grown} select horizon, feature, bar, left_rows, left_gradient from lefts
+      where bar < {BINS - 1})"""
+    without = ", ".join(f"'{n}'" for n in FEATURES if n.endswith(WEATHER_WORDS))
+    square = lambda g, n: f"{g}::double * {g}::double / ({n} + 1.0::double)"
+    out["root_splits"] = f"""select * from ({grown},
+      gains as (
+        select *, {square("left_gradient", "left_rows")} + {square("(gradient - left_gradient)", "(n - left_rows)")}
+          - {square("gradient", "n")} as gain
+        from lefts where bar < {BINS - 1} and left_rows > 0 and left_rows < n)
+      select variant, horizon, feature, bar, left_rows, left_gradient, gradient
+      from (select unnest(['no_weather', 'weather']) as variant) join gains
+        on variant = 'weather' or feature not in ({without})
+      qualify row_number() over (partition by variant, horizon order by gain desc, position, bar) = 1)"""
     out["regression_metrics"] = f"""
       select station_id, {r2("a")} as mae, {r2("m")} as mse, {r2(f"sqrt({r2('m')})")} as rmse,
         {r2("1 - m / s")} as r2

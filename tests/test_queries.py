@@ -30,8 +30,12 @@ def test_query_on_more_rows(spark, name):
     assert found == [] and info["rows"] > 0
 
 
+# Boosted trees have no SQL; tests hold them against a plain loop.
+FITTED = {n for n in QUERIES if n.startswith("model_")}
+
+
 def test_every_query_has_sql_and_is_registered():
-    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) - FITTED == set(SQL)
     assert set(queries()) >= set(QUERIES) and set(oracle_sql()) >= set(SQL)
 
 

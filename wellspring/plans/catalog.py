@@ -11,6 +11,7 @@ from ..functions.calendar import with_calendar_parts
 from ..functions.numeric import tidy
 from ..operators import (
     answers,
+    boosting,
     depletion,
     features,
     fills,
@@ -28,7 +29,7 @@ from ..operators.slices import Slices
 from ..schemas import EVENT, FLOW_CHANGE, STATION, TS, WEATHER
 from ..sources import events
 from ..sources.stand_in import with_seasonal_changes
-from ..sources.tables import stored_once, use_utc
+from ..sources.tables import current_version, layer_path, stored_once, use_utc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -110,6 +111,34 @@ def training_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _layer(spark, sf_dir, "training", build)
 
 
+def trained_folder(spark: SparkSession, sf_dir: str) -> str:
+    """Where the 48 models of this table are: fitted with full settings when first asked for."""
+    folder = layer_path("models", events.events(spark, sf_dir))
+    if current_version(spark, f"{folder}/borders") is None:
+        before, _ = models.time_split(training_table(spark, sf_dir), TEST_FROM)
+        models.save_models(spark, models.train_all(before), folder)
+    return folder
+
+
+def trained(spark: SparkSession, sf_dir: str) -> boosting.Forest:
+    return models.load_models(spark, trained_folder(spark, sf_dir))
+
+
+def test_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.time_split(training_table(spark, sf_dir), TEST_FROM)[1]
+
+
+def model_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Silver hours with the flow paths that the models predict, where all features are known."""
+    changes = models.predicted_changes(trained(spark, sf_dir), training_table(spark, sf_dir))
+    return forecast.with_paths(silver_table(spark, sf_dir).join(changes, [STATION, TS], "left"))
+
+
+def model_depleted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    build = lambda: depletion.with_depletion(model_paths(spark, sf_dir))
+    return _layer(spark, sf_dir, "model_depleted", build)
+
+
 def paths(spark: SparkSession, sf_dir: str, coupled: bool = True) -> DataFrame:
     return forecast.with_paths(with_seasonal_changes(silver_table(spark, sf_dir)), coupled)
 
@@ -423,6 +452,89 @@ def time_split(spark, sf_dir):
     return parts[0].unionByName(parts[1])
 
 
+def _root(spark: SparkSession, sf_dir: str, variants: tuple[str, ...]) -> tuple[DataFrame, list[boosting.Spec]]:
+    before, _ = models.time_split(training_table(spark, sf_dir), TEST_FROM)
+    borders = boosting.bin_borders(before, models.FEATURES)
+    specs = models.specs(variants=variants)
+    sums, _ = boosting.root_sums(models.binned_rows(before, borders), specs, models.FEATURES)
+    return sums, specs
+
+
+def _named(specs: list[boosting.Spec]) -> tuple[Column, Column, Column]:
+    """Variant, horizon and feature of the columns ``model`` and ``feature``."""
+    pick = lambda values, at: F.element_at(F.array(*[F.lit(v) for v in values]), F.col(at) + 1)
+    variants, horizons = zip(*[s.name.rsplit("_", 1) for s in specs])
+    return (
+        pick(variants, "model").alias("variant"),
+        pick(map(int, horizons), "model").alias("horizon"),
+        pick(models.FEATURES, "feature").alias("feature"),
+    )
+
+
+@query
+def binned_sums(spark, sf_dir):
+    """What the first tree of every horizon is grown from: rows and gradients up to each bin."""
+    sums, specs = _root(spark, sf_dir, ("weather",))
+    _, horizon, feature = _named(specs)
+    each = F.posexplode(F.slice(F.arrays_zip("n", "g"), 1, boosting.BINS - 1)).alias("bar", "sums")
+    rows = sums.select("model", "feature", each).select(horizon, feature, "bar", "sums.*")
+    return rows.withColumnsRenamed({"n": "left_rows", "g": "left_gradient"})
+
+
+@query
+def root_splits(spark, sf_dir):
+    """The first split of all 48 models."""
+    sums, specs = _root(spark, sf_dir, tuple(models.VARIANTS))
+    found = boosting.best_of(sums).withColumn("feature", -F.col("split.feature"))
+    return found.select(
+        *_named(specs),
+        (-F.col("split.bar")).alias("bar"),
+        F.col("split.n").alias("left_rows"),
+        F.col("split.g").alias("left_gradient"),
+        F.col("whole").alias("gradient"),
+    )
+
+
+@query
+def model_forest(spark, sf_dir):
+    """The fitted models as a table: 100 rounds, depth 6, 24 horizons, with and without weather."""
+    return models.forest_table(spark, trained_folder(spark, sf_dir)).drop("features")
+
+
+@query
+def model_errors(spark, sf_dir):
+    return models.error_report(trained(spark, sf_dir), test_rows(spark, sf_dir))
+
+
+@query
+def model_errors_by_round(spark, sf_dir):
+    """Mean absolute error after each round, on the rows trained on and on those after."""
+    forest = trained(spark, sf_dir)
+    parts = models.time_split(training_table(spark, sf_dir), TEST_FROM)
+    named = [models.error_per_round(forest, p).withColumn("part", F.lit(n)) for n, p in zip(("train", "test"), parts)]
+    return named[0].unionByName(named[1])
+
+
+@query
+def model_evaluation(spark, sf_dir):
+    return models.evaluation_rows(trained(spark, sf_dir), test_rows(spark, sf_dir))
+
+
+@query
+def model_forecast_path(spark, sf_dir):
+    return forecast.forecast_rows(model_paths(spark, sf_dir))
+
+
+@query
+def model_time_to_empty(spark, sf_dir):
+    return depletion.time_to_empty(model_depleted(spark, sf_dir))
+
+
+@query
+def model_states(spark, sf_dir):
+    return states.states(model_depleted(spark, sf_dir))
+
+
 # --- forecast, depletion, states --------------------------------------------------------
 
 

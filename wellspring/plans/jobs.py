@@ -75,26 +75,21 @@ def models_job(
     spark: SparkSession, training: str, boundary: str, folder: str, horizons=features.HORIZONS, **params
 ) -> DataFrame:
     """Fit and save one model per variant and horizon; errors after the boundary."""
-    vectors = models.feature_vectors(read_table(use_utc(spark), training))
-    before, after = models.time_split(vectors, boundary)
+    before, after = models.time_split(read_table(use_utc(spark), training), boundary)
     fitted = models.train_all(before, horizons, **params)
-    models.save_models(fitted, folder)
+    models.save_models(spark, fitted, folder)
     return models.error_report(fitted, after)
 
 
 def evaluation_job(spark: SparkSession, training: str, boundary: str, folder: str, out: str) -> None:
-    vectors = models.feature_vectors(read_table(use_utc(spark), training))
-    _, after = models.time_split(vectors, boundary)
-    write_table(models.evaluation_rows(models.load_models(folder, (1,)), after), out)
+    _, after = models.time_split(read_table(use_utc(spark), training), boundary)
+    write_table(models.evaluation_rows(models.load_models(spark, folder), after), out)
 
 
 def states_job(spark: SparkSession, silver: str, training: str, folder: str, out: str) -> None:
     """Forecasts, depletion and states for every silver hour; all models score in one pass."""
     table = _silver(spark, silver)
-    vectors = models.feature_vectors(read_table(spark, training))
-    changes = models.predicted_changes(models.load_models(folder), vectors).select(
-        STATION, TS, "change_no_weather", "change_weather"
-    )
+    changes = models.predicted_changes(models.load_models(spark, folder), read_table(spark, training))
     paths = forecast.with_paths(table.join(changes, [STATION, TS], "left"))
     write_table(states.states(depletion.with_depletion(paths)), out)
 
@@ -112,9 +107,8 @@ def forecast_job(
     rows = rows.join(
         anchors, (rows[STATION] == anchors[STATION]) & (rows[TS] == anchors["anchor"]), "left_semi"
     )
-    vectors = models.feature_vectors(rows, keep=(forecast.FLOW,))
-    paths = forecast.with_paths(models.predicted_changes(models.load_models(folder), vectors))
-    write_table(forecast.forecast_rows(paths), out)
+    changes = models.predicted_changes(models.load_models(spark, folder), rows, (STATION, TS, forecast.FLOW))
+    write_table(forecast.forecast_rows(forecast.with_paths(changes)), out)
     write_table(forecast.unmatched_anchors(anchors, read_table(spark, out)), unmatched)
 
 
@@ -122,10 +116,8 @@ def search_job(
     spark: SparkSession, training: str, variant: str, horizon: int, out: str, **search
 ) -> None:
     """The search over time folds: each grid point with its mean error, best first."""
-    vectors = models.feature_vectors(read_table(use_utc(spark), training), (variant,))
-    ranked = models.grid_search(vectors, variant, horizon, **search)
-    rows = [(i, str(params), error) for i, (params, error) in enumerate(ranked)]
-    write_table(spark.createDataFrame(rows, "place int, params string, mae double"), out)
+    rows = read_table(use_utc(spark), training)
+    write_table(models.grid_search(rows, variant, horizon, **search), out)
 
 
 def answers_job(spark: SparkSession, silver: str, folder: str) -> None:

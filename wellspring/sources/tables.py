@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import tempfile
 from collections.abc import Callable
+from pathlib import Path
 from uuid import uuid4
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
@@ -70,24 +72,104 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def content_key(source: DataFrame) -> str:
+    """A name for the files that ``source`` reads and for this code, without reading a column.
+
+    Paths, sizes and times of the files come from the scan's own metadata, summed up by the tasks.
+    """
+    file = [F.col(f"_metadata.{c}") for c in ("file_path", "file_size", "file_modification_time")]
+    listing = source.select(F.xxhash64(*file).alias("h")).distinct()
+    count, total = listing.agg(F.count("*"), F.sum(F.col("h").cast("decimal(38,0)"))).first()
+    return hashlib.sha256(f"{code_version()} {count} {total}".encode()).hexdigest()[:24]
+
+
+@functools.cache
+def code_version() -> str:
+    """Hash of the package's sources: changed code makes new layers."""
+    package = Path(__file__).resolve().parent.parent
+    content = hashlib.sha256()
+    for path in sorted(package.rglob("*.py")):
+        content.update(f"{path.relative_to(package)}\n".encode() + path.read_bytes())
+    return content.hexdigest()
+
+
+def layer_path(name: str, source: DataFrame) -> str:
+    return f"{shared_folder(source.sparkSession)}/{name}-{content_key(source)}"
+
+
 def stored_once(name: str, source: DataFrame, build: Callable[[], DataFrame]) -> DataFrame:
-    """A layer built from ``source``, written when first asked for in an application.
+    """A layer built from ``source``, written when first asked for.
+
+    Its name holds the input's file listing and the code's version: other files or changed code
+    make a new table. It is put in place whole, whoever else builds it at the same time.
+    """
+    spark, path = source.sparkSession, layer_path(name, source)
+    if current_version(spark, path) is None:
+        write_version(build(), path)
+    return read_version(spark, path)[0]
+
+
+POINTER = "current"
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def current_version(spark: SparkSession, path: str) -> tuple[str, str] | None:
+    """Folder and label of the version that readers of ``path`` are to see."""
+    files, pointer = _file_system(spark, f"{path}/{POINTER}")
+    if not files.exists(pointer):
+        return None
+    stream = files.open(pointer)
+    text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    stream.close()
+    folder, label = text.rstrip("\n").split(" ", 1)
+    return folder, label
+
+
+def write_version(df: DataFrame, path: str, label: str = "", partition_by: tuple[str, ...] = (), keep: int = 1) -> None:
+    """Replace the table at ``path`` in one step.
 
-    The table's name holds the row count and a hash of the source's rows: changed rows make a
-    new table, never a stale answer.
+    The files go to a folder of their own; then a pointer file is put in place by one rename, and
+    the version that it named before is kept, older ones deleted. A writer that dies before the
+    rename leaves what readers see as it was; of two writers the later rename wins, whole.
     """
-    spark = source.sparkSession
-    content = F.sum(F.xxhash64(*source.columns).cast("decimal(38,0)"))
-    count, total = source.agg(F.count("*"), content).first()
-    path = f"{shared_folder(spark)}/{name}-{count}-{total}"
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:  # not there yet
-        build().write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the cluster's shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    spark = df.sparkSession
+    files, root = _file_system(spark, path)
+    before = current_version(spark, path)
+    folder = f"v{uuid4().hex}"
+    write_table(df, f"{path}/{folder}", partition_by)
+    _, draft = _file_system(spark, f"{path}/{POINTER}-{folder}")
+    out = files.create(draft, True)
+    out.write(bytearray(f"{folder} {label}\n".encode()))
+    out.close()
+    _, pointer = _file_system(spark, f"{path}/{POINTER}")
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(root.toUri(), spark._jsc.hadoopConfiguration())
+    options = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    replace = spark.sparkContext._gateway.new_array(options, 1)
+    replace[0] = options.OVERWRITE
+    qualified = lambda p: files.makeQualified(p)
+    context.rename(qualified(draft), qualified(pointer), replace)
+    kept = {folder, before[0] if before and keep else ""}
+    for status in files.listStatus(root):
+        name = status.getPath().getName()
+        # Another writer's folder, newer than the version before, may still be in the making.
+        if status.isDirectory() and name not in kept and before and status.getModificationTime() < _time_of(files, root, before[0]):
+            files.delete(status.getPath(), True)
+
+
+def _time_of(files, root, name: str) -> int:
+    for status in files.listStatus(root):
+        if status.getPath().getName() == name:
+            return status.getModificationTime()
+    return 0
+
+
+def read_version(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
+    """The table that ``write_version`` put at ``path`` last, and its label."""
+    version = current_version(spark, path)
+    if version is None:
+        raise FileNotFoundError(f"no version of a table at {path}")
+    return spark.read.parquet(f"{path}/{version[0]}"), version[1]
