@@ -7,13 +7,13 @@ either level below zero.
 
 from __future__ import annotations
 
-import functools
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.calendar import add_hours, epoch_hour
 from ..schemas import STATION, TS
-from ..sources.tables import stored
+from ..sources.shipping import ship
 from .forecast import FLOW, HISTORY_HOURS, HOURS
 from .hourly import hour_range
 
@@ -33,45 +33,90 @@ _ADDED = [
     T.StructField("empty_after", T.IntegerType()),
     *[T.StructField(c, T.ArrayType(T.DoubleType())) for c in _LAST],
 ]
+#: Hours of anchors that are looked at one by one at a time.
+TAIL_HOURS = 1 << 20
 
 
-def _path(falls: str, level: str) -> str:
-    """SQL: the level after each hour of a block."""
-    return f"""aggregate({falls}, named_struct('level', {level}, 'path', cast(array() as array<double>)),
-      (a, f) -> named_struct('level', a.level - f * {PERCENT_PER_FLOW!r}D,
-        'path', concat(a.path, array(a.level - f * {PERCENT_PER_FLOW!r}D))), a -> a.path)"""
-
-
-def _block(running: DataFrame, blocks: DataFrame, number: int) -> DataFrame:
-    """One block of 24 hours for every anchor that is still running and has a forecast there."""
-    level, last = {1: "level_1", 2: "level_2"}, {}
-    for c, now in zip(_LAST, ("falls_1", "falls_2", "path_1", "path_2"), strict=True):
-        shown = f"concat(before_{c}, slice({now}, 1, first_below))" if number else f"slice({now}, 1, first_below)"
-        last[c] = F.expr(f"if(crosses, slice({shown}, greatest(size({shown}) - {SHOWN_ROWS - 1}, 1), {SHOWN_ROWS}), {c})")
-    stepped = (
-        running.join(blocks, [STATION, "block_hour"])
-        .withColumns({f"path_{v}": F.expr(_path(f"falls_{v}", level[v])) for v in (1, 2)})
-        .withColumn("first_below", F.expr("array_position(transform(path_1, x -> x < 0), true)").cast("int"))
-        .withColumn("crosses", (F.col("first_below") > 0) & F.col("empty_after").isNull())
-        .withColumns(last)
-    )
-    above = "size(filter(zip_with(path_1, path_2, (x, y) -> x > 0 or y > 0), x -> x))"
-    return stepped.select(
-        STATION,
-        "hour_no",
-        (F.col("block_hour") + HOURS).alias("block_hour"),
-        *[F.element_at(f"path_{v}", HOURS).alias(f"level_{v}") for v in (1, 2)],
-        (F.col("time_elapsed") + F.expr(above)).cast("int").alias("time_elapsed"),
-        F.when(F.col("crosses"), number * HOURS + F.col("first_below"))
-        .otherwise(F.col("empty_after"))
-        .cast("int")
-        .alias("empty_after"),
-        *_LAST,
-        *[
-            F.col(now).alias(f"before_{c}")
-            for c, now in zip(_LAST, ("falls_1", "falls_2", "path_1", "path_2"), strict=True)
-        ],
-        F.expr(f"path_1[{HOURS - 1}] < 0 or path_2[{HOURS - 1}] < 0").alias("done"),
+class _FirstAbove:
+    """For positions and bars: the first entry from the position on that is above the bar.
+
+    Maxima of stretches of 1, 2, 4, ... entries are skipped from long to short, for all at once.
+    """
+
+    def __init__(self, numbers: np.ndarray):
+        self.maxima = [numbers]
+        while 2 ** len(self.maxima) <= len(numbers):
+            last, half = self.maxima[-1], 2 ** (len(self.maxima) - 1)
+            self.maxima.append(np.maximum(last[:-half], last[half:]))
+
+    def __call__(self, start: np.ndarray, bar: np.ndarray) -> np.ndarray:
+        at, n = start.copy(), len(self.maxima[0])
+        for power in range(len(self.maxima) - 1, -1, -1):
+            maxima = self.maxima[power]
+            fits = at + 2**power <= n
+            skip = fits & (maxima[np.where(fits, at, 0)] <= bar)
+            at += skip * 2**power
+        return at
+
+
+def _outcomes(hour: np.ndarray, level: np.ndarray, flows: tuple[np.ndarray, np.ndarray]) -> dict[str, np.ndarray]:
+    """Outcomes of the anchors of one chain: its blocks in time, 24 flows each, both variants.
+
+    A level at an hour is the anchor's level less the chain's falls since; so with ``bar`` as the
+    anchor's level plus the falls before it, "below zero" is "running falls above the bar".
+    """
+    n = len(hour)
+    block = np.arange(n)
+    breaks = np.flatnonzero(np.diff(hour) != HOURS) + 1
+    chain_end = np.append(breaks, n)[np.searchsorted(breaks, block, "right")]
+    falls = [np.append(0.0, np.cumsum(f.ravel() * PERCENT_PER_FLOW)) for f in flows]
+    search = [_FirstAbove(f) for f in falls]
+    start = block * HOURS
+    bars = [level + f[start] for f in falls]
+    ends = [_FirstAbove(f[::HOURS])(block + 1, bar) for f, bar in zip(falls, bars, strict=True)]
+    end = np.minimum(*ends)
+    crossing = search[0](start + 1, bars[0])
+    answered = np.flatnonzero((end <= chain_end) & (crossing <= end * HOURS))
+    start, last, crossing = start[answered], end[answered] * HOURS, crossing[answered]
+    bars = [bar[answered] for bar in bars]
+    # Up to here one of the two levels is above zero in every hour; later hours are looked at.
+    empty = [s(start + 1, np.nextafter(bar, -np.inf)) for s, bar in zip(search, bars, strict=True)]
+    sure = np.minimum(np.maximum(*empty), last + 1)
+    elapsed = sure - start - 1
+    tail = last + 1 - sure
+    cuts = np.searchsorted(np.cumsum(tail), np.arange(TAIL_HOURS, tail.sum() + TAIL_HOURS, TAIL_HOURS)) + 1
+    for some in np.split(np.arange(len(tail)), cuts):
+        who = np.repeat(some, tail[some])
+        at = sure[who] + np.arange(len(who)) - np.repeat(np.cumsum(tail[some]) - tail[some], tail[some])
+        above = (falls[0][at] < bars[0][who]) | (falls[1][at] < bars[1][who])
+        elapsed += np.bincount(who, above, minlength=len(tail)).astype(elapsed.dtype)
+    after = crossing - start
+    shown = np.minimum(after, SHOWN_ROWS)
+    hours = np.repeat(crossing - shown, shown) + np.arange(shown.sum()) - np.repeat(np.cumsum(shown) - shown, shown)
+    flow = [f.ravel()[hours] for f in flows]
+    levels = [np.repeat(bar, shown) - f[hours + 1] for f, bar in zip(falls, bars, strict=True)]
+    return {
+        "hour_no": hour[answered],
+        "time_elapsed": elapsed,
+        "empty_after": after,
+        "shown": shown,
+        **dict(zip(_LAST, (*flow, *levels), strict=True)),
+    }
+
+
+def _chain(key: tuple, rows: pa.Table) -> pa.Table:
+    rows = rows.sort_by("hour_no")
+    flat = lambda c: rows.column(c).combine_chunks().flatten().to_numpy().reshape(-1, HOURS)
+    found = _outcomes(rows.column("hour_no").to_numpy(), rows.column("level").to_numpy(), (flat("falls_1"), flat("falls_2")))
+    offsets = pa.array(np.append(0, np.cumsum(found["shown"])).astype(np.int32))
+    return pa.table(
+        {
+            STATION: pa.array([key[0].as_py()] * len(found["hour_no"]), rows.schema.field(STATION).type),
+            "hour_no": pa.array(found["hour_no"], pa.int64()),
+            "time_elapsed": pa.array(found["time_elapsed"], pa.int32()),
+            "empty_after": pa.array(found["empty_after"], pa.int32()),
+            **{c: pa.ListArray.from_arrays(offsets, pa.array(found[c])) for c in _LAST},
+        }
     )
 
 
@@ -82,44 +127,25 @@ def with_depletion(paths: DataFrame) -> DataFrame:
     hour of the first no-weather level below zero; both null where there is no answer: the
     forecasts end first, or only the weather level falls below zero.
 
-    All anchors go on by one block per round: a join of those still running with the forecasts
-    24 hours later. Only keys, levels and one block travel. Each round is stored; rounds go on
-    until no anchor runs.
+    Blocks that follow each other begin at the same hour of the day, so a station has 24 chains
+    of blocks, one row a day each. A chain is one group; running sums of its falls and a search
+    for the first one above a bar answer all anchors of the chain at once, in steps that grow
+    with the logarithm of its length. One shuffle, however long the series or a power cut.
     """
-    rows = paths.withColumn("hour_no", epoch_hour(F.col(TS)))
+    ship(paths.sparkSession)
+    rows = paths.withColumn("hour_no", epoch_hour(F.col(TS)).cast("long"))
     known = rows.filter(
         F.col("flow_no_weather").isNotNull() & F.col("flow_weather").isNotNull() & F.col(LEVEL).isNotNull()
-    )
-    blocks = stored(
-        known.select(
-            STATION,
-            F.col("hour_no").alias("block_hour"),
-            F.col("flow_no_weather").alias("falls_1"),
-            F.col("flow_weather").alias("falls_2"),
-        )
-    )
-    empty = F.lit(None).cast("array<double>")
-    running = known.select(
+    ).select(
         STATION,
         "hour_no",
-        F.col("hour_no").alias("block_hour"),
-        F.col(LEVEL).alias("level_1"),
-        F.col(LEVEL).alias("level_2"),
-        F.lit(0).alias("time_elapsed"),
-        F.lit(None).cast("int").alias("empty_after"),
-        *[empty.alias(c) for c in _LAST],
-        *[empty.alias(f"before_{c}") for c in _LAST],
+        F.col(LEVEL).alias("level"),
+        F.col("flow_no_weather").alias("falls_1"),
+        F.col("flow_weather").alias("falls_2"),
     )
-    answers, number = [], 0
-    while True:
-        step = stored(_block(running, blocks, number))
-        answers.append(step.filter(F.col("done") & F.col("empty_after").isNotNull()))
-        running, number = step.filter(~F.col("done")).drop("done"), number + 1
-        if running.isEmpty():
-            break
-    added = [f.name for f in _ADDED]
-    answered = functools.reduce(DataFrame.unionByName, answers).select(STATION, "hour_no", *added)
-    return rows.join(answered, [STATION, "hour_no"], "left").select(*paths.columns, *added)
+    shape = T.StructType([paths.schema[STATION], T.StructField("hour_no", T.LongType()), *_ADDED])
+    answered = known.groupBy(STATION, F.pmod("hour_no", F.lit(HOURS)).alias("residue")).applyInArrow(_chain, shape)
+    return rows.join(answered, [STATION, "hour_no"], "left").select(*paths.columns, *[f.name for f in _ADDED])
 
 
 def time_to_empty(depleted: DataFrame) -> DataFrame:
