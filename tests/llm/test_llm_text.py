@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -87,6 +88,28 @@ def test_base_spans_and_weak_ones_only_beside_a_complement(docs, texts):
     assert found[3].spans == ""
 
 
+def test_a_text_of_many_parts(spark):
+    """Ten thousand parts, in one scope and in as many: linear, and no sweep within a lambda."""
+    many = [f"password=abcdefgh{i} at https://host{i}.example.com/" for i in range(2500)]
+    texts = [" ".join(many), "\n\n".join(many), "first password=abcdefgh1\n\n" + "some prose here\n\n" * 10_000]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("parts_", F.lit(1))
+    plan = secrets.digest(frame)._jdf.queryExecution().optimizedPlan().toString()
+    last = plan.split("Project")[1]
+    assert last.count("rlike") == 0
+    start = time.time()
+    found = by_id(secrets.digest(frame))
+    assert time.time() - start < 20
+    assert [found[i].n_assign for i in range(3)] == [2500, 2500, 1]
+    assert [found[i].n_linked for i in range(3)] == [5000, 5000, 0]
+    at = 0
+    for span, text in zip(found[1].spans.split(",")[::2], many):
+        assert span == f"assign:{at}:{at + text.index(' ')}"
+        at += len(text) + 2
+    cut = by_id(secrets.without_credentials(frame))
+    assert cut[0].text == " ".join(["[assign] at [endpoint]"] * 2500) and cut[0].parts_ == 1
+    assert cut[2].text == "first [assign]\n\n" + "some prose here\n\n" * 10_000
+
+
 def test_redacted_texts_have_no_credential_left(docs, texts):
     out = by_id(secrets.without_credentials(docs.withColumn("n_chars", F.lit(-1))))
     assert out[9].text == '[login]"\n[assign]" at [endpoint]\n\nlogin=alice\n\n'

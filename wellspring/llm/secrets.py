@@ -12,7 +12,9 @@ going backward the next start. That finds the same partners as a join on overlap
 but makes no pairs. All of it is column expressions on the row itself: no shuffle, and no group
 larger than a text.
 
-Cases: null and empty texts have no spans. Repeated rows each get their own result. Columns
+Cases: null and empty texts have no spans. Long texts are read in whole; the time grows with the
+number of their parts and a little faster, as ``scan`` says. Ties of places go by the order of kinds.
+An empty table gives an empty result. Repeated rows each get their own result. Columns
 other than the text are passed through; the result column takes the name that is asked for.
 """
 
@@ -100,26 +102,44 @@ def _quoted(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def parts_of(kind: Kind, rank: int, text: str) -> str:
-    """SQL: the parts of one kind, in order, with code point positions.
+def scan(array: str, start: str, step: str, emit: str, kind: str) -> str:
+    """SQL: what ``emit``, an array, gives for every element in turn, joined to ``array<kind>``.
 
-    The pieces between matches and the matches alternate, so running lengths give positions.
+    ``step`` makes the next state; both see the state before as ``acc.s`` and the element as
+    ``x``. The array is a column, read in stretches of about the root of its length: results are
+    appended to that many short arrays and then to one of arrays, never to a long one, so a
+    hundred times the elements take a thousand times as long at most, not ten thousand.
     """
+    long = f"greatest(1, cast(sqrt(size({array})) as int))"
+    stretches = f"""transform(sequence(0, greatest(size({array}) - 1, 0) div {long}), i -> slice({array}, i * {long} + 1, {long}))"""
+    stretch = f"""aggregate(c, named_struct('s', o.s, 'out', cast(array() as array<{kind}>)),
+      (acc, x) -> named_struct('s', {step}, 'out', concat(acc.out, {emit})))"""
+    return f"""aggregate({stretches}, named_struct('s', {start}, 'out', cast(array() as array<array<{kind}>>)),
+      (o, c) -> transform(array({stretch}), r -> named_struct('s', r.s, 'out', concat(o.out, array(r.out))))[0],
+      o -> flatten(o.out))"""
+
+
+def matches_of(kind: Kind, text: str) -> str:
+    """SQL: for each match the piece of text before it, the match and its value; the rest last."""
     pattern = _quoted(kind.pattern)
+    return f"""arrays_zip(split({text}, {pattern}, -1), regexp_extract_all({text}, {pattern}, 0),
+      regexp_extract_all({text}, {pattern}, {kind.group}))"""
+
+
+def parts_of(kind: Kind, rank: int, matches: str) -> str:
+    """SQL: the parts of one kind, in order, with code point positions, from its matches.
+
+    The pieces between matches and the matches alternate, so running lengths give positions.
+    """
     p, m, v = "x.`0`", "x.`1`", "x.`2`"
     keep = kind.keep.format(m=m, v=v)
     here = (
-        f"acc.at + length({p}) as start, {rank} as rank, acc.at + length({p}) + length({m}) as end, "
+        f"acc.s + length({p}) as start, {rank} as rank, acc.s + length({p}) + length({m}) as end, "
         f"'{kind.name}' as kind, '{kind.role}' as role, {str(kind.strong).lower()} as strong, {m} as text"
     )
-    return f"""aggregate(
-      arrays_zip(split({text}, {pattern}, -1), regexp_extract_all({text}, {pattern}, 0),
-                 regexp_extract_all({text}, {pattern}, {kind.group})),
-      named_struct('at', 0, 'found', cast(array() as array<{_PART}>)),
-      (acc, x) -> named_struct(
-        'at', acc.at + length({p}) + coalesce(length({m}), 0),
-        'found', if({m} is not null and ({keep}), concat(acc.found, array(struct({here}))), acc.found)),
-      acc -> acc.found)"""
+    step = f"acc.s + length({p}) + coalesce(length({m}), 0)"
+    emit = f"if({m} is not null and ({keep}), array(struct({here})), cast(array() as array<{_PART}>))"
+    return scan(matches, "0", step, emit, _PART)
 
 
 _ROLES = (IDENTIFIER, SECRET, ENDPOINT)
@@ -132,7 +152,7 @@ def _sweep(parts: str, forward: bool) -> str:
     """
     seen = "end" if forward else "start"
     best = "greatest" if forward else "least"
-    distance = "x.start - acc.{r}" if forward else "acc.{r} - x.end"
+    distance = "x.start - acc.s.{r}" if forward else "acc.s.{r} - x.end"
     near = {r: f"coalesce({distance.format(r=r)} <= {REACH}, false)" for r in _ROLES}
     partner = (
         f"case x.role when '{IDENTIFIER}' then {near[SECRET]} when '{ENDPOINT}' then {near[SECRET]} "
@@ -140,44 +160,48 @@ def _sweep(parts: str, forward: bool) -> str:
     )
     state = ", ".join(
         f"'{r}', case when x.role = '{BREAK}' then null "
-        f"when x.role = '{r}' then {best}(acc.{r}, x.{seen}) else acc.{r} end"
+        f"when x.role = '{r}' then {best}(acc.s.{r}, x.{seen}) else acc.s.{r} end"
         for r in _ROLES
     )
     empty = ", ".join(f"'{r}', cast(null as int)" for r in _ROLES)
-    return f"""aggregate({parts},
-      named_struct({empty}, 'near', cast(array() as array<boolean>)),
-      (acc, x) -> named_struct({state}, 'near', concat(acc.near, array({partner}))),
-      acc -> acc.near)"""
+    return scan(parts, f"named_struct({empty})", f"named_struct({state})", f"array({partner})", "boolean")
+
+
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Column names that ``docs`` doesn't have."""
+    return [next(n for n in ("_" * k + name for k in range(len(docs.columns) + 1)) if n not in docs.columns) for name in names]
 
 
 def find_credentials(docs: DataFrame, column: str = "text", into: str = "credentials") -> DataFrame:
     """``docs`` with an array of spans: start, rank, end, kind, role, strong, text, linked.
 
     ``linked`` says that a complementary part is within reach. Weak spans are always linked.
+
+    Each step is a column that the next one reads more than once, which keeps Spark from putting
+    the one into the other; the sweeps are arguments of one zip, not repeated for its elements.
     """
-    t, parts, ahead, behind = "__text", "__parts", "__ahead", "__behind"
-    found = ",\n".join(parts_of(k, i, t) for i, k in enumerate(KINDS))
+    t, parts, back, ahead, behind = fresh(docs, "text_", "parts_", "back_", "ahead_", "behind_")
+    found = fresh(docs, *[f"matches_{k.name}_" for k in KINDS])
+    none = "cast(array() as array<struct<`0`:string,`1`:string,`2`:string>>)"
+    gate = f"{t} rlike {_quoted(ANY_SECRET)}"
+    every = ",\n".join(parts_of(k, i, f"`{m}`") for i, (k, m) in enumerate(zip(KINDS, found, strict=True)))
+    zipped = f"arrays_zip({parts}, {ahead}, {behind})"
     return (
         docs.withColumn(t, F.coalesce(F.col(column), F.lit("")))
-        .withColumn(
-            parts,
-            F.expr(
-                f"case when {t} rlike {_quoted(ANY_SECRET)} then sort_array(concat({found})) "
-                f"else cast(array() as array<{_PART}>) end"
-            ),
-        )
+        .withColumns({m: F.expr(f"if({gate}, {matches_of(k, t)}, {none})") for k, m in zip(KINDS, found, strict=True)})
+        .withColumn(parts, F.expr(f"sort_array(concat({every}))"))
+        .withColumn(back, F.expr(f"reverse({parts})"))
         .withColumn(ahead, F.expr(_sweep(parts, forward=True)))
-        .withColumn(behind, F.expr(f"reverse({_sweep(f'reverse({parts})', forward=False)})"))
+        .withColumn(behind, F.expr(f"reverse({_sweep(back, forward=False)})"))
         .withColumn(
             into,
             F.expr(
-                f"""filter(transform({parts}, (x, i) -> struct(
-                  x.start, x.rank, x.end, x.kind, x.role, x.strong, x.text,
-                  {ahead}[i] or {behind}[i] as linked)),
-                  x -> x.role <> '{BREAK}' and (x.strong or x.linked))"""
+                f"""transform(filter({zipped}, x -> x.{parts}.role <> '{BREAK}' and (x.{parts}.strong or x.{ahead} or x.{behind})),
+                  x -> struct(x.{parts}.start, x.{parts}.rank, x.{parts}.end, x.{parts}.kind, x.{parts}.role,
+                    x.{parts}.strong, x.{parts}.text, x.{ahead} or x.{behind} as linked))"""
             ),
         )
-        .drop(t, parts, ahead, behind)
+        .drop(t, parts, back, ahead, behind, *found)
     )
 
 
@@ -206,17 +230,12 @@ def digest(docs: DataFrame) -> DataFrame:
 def redacted(found: str, text: str) -> Column:
     """The text with every span, overlapping ones merged, replaced by ``[kind]``.
 
-    The text is rebuilt from the pieces between the spans; the kind is that of the first span.
+    The text is joined from the pieces between the spans; the kind is that of the first span.
     """
-    return F.expr(
-        f"""aggregate({found}, named_struct('at', 0, 'out', ''),
-          (acc, x) -> named_struct(
-            'at', greatest(acc.at, x.end),
-            'out', if(x.start >= acc.at,
-                      concat(acc.out, substring({text}, acc.at + 1, x.start - acc.at), '[', x.kind, ']'),
-                      acc.out)),
-          acc -> concat(acc.out, substring({text}, acc.at + 1)))"""
-    )
+    piece = f"substring({text}, acc.s + 1, x.start - acc.s)"
+    emit = f"if(x.start >= acc.s, array({piece}, '[', x.kind, ']'), cast(array() as array<string>))"
+    pieces = scan(found, "0", "greatest(acc.s, x.end)", emit, "string")
+    return F.expr(f"concat(array_join({pieces}, ''), substring({text}, array_max(transform({found}, x -> x.end)) + 1))")
 
 
 def without_credentials(docs: DataFrame) -> DataFrame:
@@ -224,11 +243,12 @@ def without_credentials(docs: DataFrame) -> DataFrame:
 
     Texts without a span stay as they are, null too. No document goes.
     """
-    found = find_credentials(docs, into="__found")
-    text = F.when(F.size("__found") > 0, redacted("__found", "text")).otherwise(F.col("text"))
-    changes = {"text": text}
+    spans, new = fresh(docs, "spans_", "redacted_")
+    found = find_credentials(docs, into=spans)
+    some = F.size(spans) > 0
+    out = found.withColumn(new, F.when(some, redacted(spans, "text")).otherwise(F.col("text")))
+    changes = {"text": F.col(new)}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        new = F.char_length(redacted("__found", "text")).cast(kind)
-        changes["n_chars"] = F.when(F.size("__found") > 0, new).otherwise(F.col("n_chars"))
-    return found.withColumns(changes).drop("__found")
+        changes["n_chars"] = F.when(some, F.char_length(new).cast(kind)).otherwise(F.col("n_chars"))
+    return out.withColumns(changes).drop(spans, new)
