@@ -6,10 +6,9 @@ many readings it sends. Windows over ``station_id`` alone are therefore safe at
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.arrays import scan
 from ..functions.calendar import (
     epoch_hour,
     epoch_micros,
@@ -34,7 +33,6 @@ from ..schemas import (
 )
 from .fills import moving_average_fill
 from .repair import plausible, repaired_series
-from ..sources.shipping import ship
 from .slices import Slices
 from .weather import attach_weather
 
@@ -348,29 +346,35 @@ def fill_empty_hours(grid: DataFrame) -> DataFrame:
     return out.select(*[columns.get(c, F.col(c)) for c in grid.columns])
 
 
-def _fold(rows: pd.DataFrame) -> pd.DataFrame:
-    """Fill the empty hours of one stretch in time order; later ones read earlier ones."""
-    rows = rows.sort_values(TS, ignore_index=True)
-    weather = rows[WEATHER].to_numpy(dtype=float, copy=True)
-    change = rows["pressure_change"].to_numpy(dtype=float, copy=True)
-    positions = rows["grid_idx"].to_numpy()
-    for i in np.flatnonzero(rows["inputed_row"].to_numpy(dtype=bool)):
-        if positions[i] >= 4:
-            recent = weather[i - 4 : i - 1]
-            known = ~np.isnan(recent)
-            counts = known.sum(axis=0)
-            sums = np.where(known, recent, 0.0).sum(axis=0)
-            means = np.divide(sums, counts, out=np.full(3, np.nan), where=counts > 0)
-            weather[i] = np.round(means, 2)
-        if positions[i] >= _LOOK_BACK:
-            steps = np.diff(change[i - _LOOK_BACK : i - 1])
-            steps = steps[~np.isnan(steps)]
-            change[i] = steps.mean() if len(steps) else np.nan
-    # Missing stays missing: NaN must not reach Spark as a number.
-    for k, c in enumerate(WEATHER):
-        rows[c] = pd.array(weather[:, k], dtype="Float64")
-    rows["pressure_change"] = pd.array(change, dtype="Float64")
-    return rows.drop(columns=["grid_idx", "stretch"])
+#: Earlier hours whose weather is read.
+_WEATHER_BACK = 4
+
+
+def _filled_values() -> str:
+    """SQL over ``rows``, the hours of a stretch in order: weather and pressure change of each.
+
+    The state holds the last hours' values, filled or not, the latest last.
+    """
+
+    def weather(k: int) -> str:
+        known = f"filter(slice(acc.s.w{k}, 1, {_WEATHER_BACK - 1}), v -> v is not null)"
+        # Rounded as numpy does: scaled, to even, scaled back.
+        return f"""if(x.inputed_row, if(x.grid_idx >= {_WEATHER_BACK}, transform(array({known}), m ->
+          rint(try_divide(aggregate(m, 0D, (a, v) -> a + v), size(m)) * 100) / 100)[0], null), x.{WEATHER[k]})"""
+
+    recent = f"slice(acc.s.p, 1, {_LOOK_BACK - 1})"
+    steps = f"""filter(zip_with(slice({recent}, 2, {_LOOK_BACK - 2}), slice({recent}, 1, {_LOOK_BACK - 2}), (b, a) -> b - a),
+      v -> v is not null)"""
+    change = f"""if(x.inputed_row, if(x.grid_idx >= {_LOOK_BACK}, transform(array({steps}), m ->
+      try_divide(aggregate(m, 0D, (a, v) -> a + v), size(m)))[0], null), x.pressure_change)"""
+    push = lambda ring, value, size: f"slice(concat(acc.s.{ring}, array({value})), 2, {size})"
+    nulls = lambda size: f"array_repeat(cast(null as double), {size})"
+    rings = [(f"w{k}", weather(k), _WEATHER_BACK) for k in range(len(WEATHER))] + [("p", change, _LOOK_BACK)]
+    start = ", ".join(f"'{ring}', {nulls(size)}" for ring, _, size in rings)
+    step = ", ".join(f"'{ring}', {push(ring, value, size)}" for ring, value, size in rings)
+    last = ", ".join(f"n.{ring}[{size - 1}] as {ring}" for ring, _, size in rings)
+    kind = "struct<" + ", ".join(f"{ring}:double" for ring, *_ in rings) + ">"
+    return scan("rows", f"named_struct({start})", f"named_struct({step})", f"array(struct({last}))", kind)
 
 
 def fill_recursive(grid: DataFrame) -> DataFrame:
@@ -379,7 +383,7 @@ def fill_recursive(grid: DataFrame) -> DataFrame:
     Weather is the mean of hours i-4..i-2, rounded; ``pressure_change`` the mean step over
     hours i-11..i-2. Two empty hours depend on each other only if chained by gaps of at most
     11 hours, so the series is cut where such a chain begins, at most once per 90 days, and
-    the stretches are folded in parallel. A stretch holds the 11 hours before its first
+    the stretches are folded in parallel, as arrays of hours. A stretch holds the 11 hours before its first
     empty hour.
     """
     w = Window.partitionBy(STATION).orderBy(TS)
@@ -401,10 +405,13 @@ def fill_recursive(grid: DataFrame) -> DataFrame:
         .withColumn("stretch", F.floor(epoch_micros(F.col("chain_start")) / days))
         .drop("chain_start")
     )
-    ship(staged.sparkSession)
-    # Dealt out again: the windows above left all stretches of a station in one task.
-    dealt = staged.repartition(STATION, "stretch")
-    return dealt.groupBy(STATION, "stretch").applyInPandas(_fold, grid.schema)
+    hour = F.struct(TS, *[c for c in (*grid.columns, "grid_idx") if c not in (TS, STATION)])
+    stretches = staged.groupBy(STATION, "stretch").agg(F.array_sort(F.collect_list(hour)).alias("rows"))
+    filled = stretches.withColumn("filled", F.expr(_filled_values())).select(
+        STATION, F.explode(F.arrays_zip("rows", "filled")).alias("z")
+    )
+    new = {c: f"z.filled.w{k}" for k, c in enumerate(WEATHER)} | {"pressure_change": "z.filled.p"}
+    return filled.select(*[F.col(c) if c == STATION else F.col(new.get(c, f"z.rows.{c}")).alias(c) for c in grid.columns])
 
 
 def finish_silver(filled: DataFrame) -> DataFrame:
