@@ -367,9 +367,9 @@ CTES["searchable"] = f"""
 
 
 def random_rewards() -> str:
-    """Flat rewards of 100 schedules drawn from md5 digits, for every state."""
-    key = "'42-' || station_id || '-' || (epoch_us(timestamp) // 3600000000) || '-' || candidate_id"
-    drawn = f"""(select *, cast('0x' || substr(md5({key}), 1, 6) as bigint) as schedule
+    """Flat rewards of 100 schedules for every state, five drawn from each md5."""
+    key = "'42-' || station_id || '-' || (epoch_us(timestamp) // 3600000000) || '-' || (candidate_id // 5)"
+    drawn = f"""(select *, cast('0x' || substr(md5({key}), candidate_id % 5 * 6 + 1, 6) as bigint) as schedule
         from searchable, range(0, 100) t(candidate_id)) drawn"""
     cases = ", ".join(f"({i}, {c})" for i, c in enumerate(CANDIDATES))
     return rewards("flat").replace(f"searchable, (values {cases}) c(candidate_id, schedule)", drawn)
