@@ -583,6 +583,13 @@ def build() -> dict[str, str]:
       from weather
       union all select {_weather_out}, 2 from overlay"""
     out["weather_union"] = f"select {_weather_out} from weather"
+    moved = "make_timestamp(year, month, day, hour, 0, 0) - interval 3 hour"
+    out["weather_local_hours"] = f"""select {_weather_out} from (
+      select hour({moved}) as hour, day({moved}) as day, month({moved}) as month, year({moved}) as year,
+        * exclude (hour, day, month, year) from weather)"""
+    out["weather_duplicate_hours"] = """select hour, day, month, year, count(*) as n from (
+      select hour, day, month, year from weather union all select hour, day, month, year from overlay)
+      group by all having count(*) > 1"""
     out["weather_overlay"] = f"select {KEY}, {d(*WEATHER)} from raw_weathered"
     out["null_profile"] = f"""select {each("count(*) filter (where {c} is null) as {c}", ["input_flow_rate", "pressure", *WEATHER])}
       from raw_weathered"""
@@ -648,6 +655,10 @@ def build() -> dict[str, str]:
       from (select station_id, avg(abs(y - p)) as a, avg((y - p) * (y - p)) as m, var_pop(y) as s
         from (select station_id, {CHANGE} as y, lag({CHANGE}, 24) over ({HOURLY}) as p from silver)
         where y is not null and p is not null group by station_id)"""
+    out["raw_errors"] = f"""
+      select station_id, round(avg((y - p) * (y - p)), 6) + 0.0 as mse
+      from (select station_id, {CHANGE} as y, lag({CHANGE}, 24) over ({HOURLY}) as p from silver)
+      where y is not null and p is not null group by station_id"""
     out["time_folds"] = f"""
       select station_id, timestamp, cast(case when i < n - 3 * (n // 4) then 0
         else 1 + (i - (n - 3 * (n // 4))) // (n // 4) end as int) as fold_block
@@ -657,11 +668,13 @@ def build() -> dict[str, str]:
       round(flow, 6) + 0.0 as output_flow_rate_mean_no_weather,
       round(flow, 6) + 0.0 as output_flow_rate_mean_weather from history"""
     out["forecast_path"] = _forecast("weather")
-    out["forecast_requests"] = f"""select * from ({_forecast("weather")}) where hour(anchor) = 1"""
+    out["forecast_requests"] = f"""{_forecast("weather")}"""
     out["unmatched_requests"] = """
-      select station_id, timestamp as anchor from silver where hour = 1
-        and (station_id, timestamp) not in (select (station_id, anchor) from paths)
-      union all select station_id, timestamp + interval 6 year from silver where hour = 1"""
+      select station_id, timestamp as anchor from silver
+        where (station_id, timestamp) not in (select (station_id, anchor) from paths)
+      union all select station_id, timestamp + interval 6 year from silver"""
+    out["first_forecast_rows"] = f"""select * from ({_forecast("weather")})
+      where timestamp <= anchor + interval 5 hour"""
     out["forecast_path_own"] = _forecast("own")
     out["real_vs_forecast_split"] = f"""{_forecast("weather")}
       union all

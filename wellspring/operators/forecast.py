@@ -23,6 +23,24 @@ def anchors_of(requests: DataFrame) -> DataFrame:
     return requests.select(STATION, timestamp_of(*parts).alias("anchor"))
 
 
+def near_anchors(hours: DataFrame, anchors: DataFrame, before: int, after: int = 0) -> DataFrame:
+    """The days of ``hours`` with an hour from ``before`` hours before an anchor to ``after`` behind.
+
+    What a request needs, taken before any window. The months that occur are listed first: a
+    filter on them prunes the partitions of a table stored by year and month; there are twelve a
+    year, however many requests. The rest is a semi-join. Frames that reach no further are
+    complete for the anchors themselves, and only for them.
+    """
+    day = lambda offset: F.date_trunc("day", add_hours(F.col("anchor"), offset))
+    days = F.sequence(day(-before), day(after), F.expr("interval 1 day"))
+    wanted = anchors.select(STATION, F.explode(days).alias("d"))
+    wanted = wanted.select(STATION, F.year("d").alias("year"), F.month("d").alias("month"), F.dayofmonth("d").alias("day"))
+    wanted = wanted.distinct()
+    month = F.col("year") * 12 + F.col("month")
+    months = [r[0] for r in wanted.select(month).distinct().collect()]
+    return hours.where(month.isin(months)).join(wanted, [STATION, "year", "month", "day"], "left_semi")
+
+
 def unmatched_anchors(anchors: DataFrame, forecasts: DataFrame) -> DataFrame:
     """Anchors without a forecast: too near an end of the series, or in a hole."""
     return anchors.join(forecasts.select(STATION, "anchor").distinct(), [STATION, "anchor"], "left_anti")
@@ -120,6 +138,12 @@ def last_rows(rows: DataFrame, n: int, by: tuple[str, ...] = (STATION, "anchor")
     return rows.withColumn("from_end", rank).filter(F.col("from_end") <= n).drop("from_end")
 
 
+def first_rows(rows: DataFrame, n: int, by: tuple[str, ...] = (STATION, "anchor")) -> DataFrame:
+    """The first ``n`` rows per group in time."""
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(TS))
+    return rows.withColumn("from_start", rank).filter(F.col("from_start") <= n).drop("from_start")
+
+
 def real_and_forecast(rows: DataFrame, real: int = 5) -> DataFrame:
     """The last ``real`` real rows and all forecast rows per anchor, for display."""
     in_part = Window.partitionBy(STATION, "anchor", "forecasted").orderBy(F.desc(TS))

@@ -91,8 +91,10 @@ def hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _layer(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    return stored_once(name, events.events(spark, sf_dir), build)
+def _layer(
+    spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame], partition_by: tuple[str, ...] = ()
+) -> DataFrame:
+    return stored_once(name, events.events(spark, sf_dir), build, partition_by)
 
 
 def silver_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,9 +103,8 @@ def silver_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     What comes after silver reads it as a table, as the jobs do. The ``silver`` query itself
     always runs from the readings.
     """
-    return _layer(
-        spark, sf_dir, "silver", lambda: hourly.silver_from_hours(hours(spark, sf_dir))
-    )
+    build = lambda: hourly.silver_from_hours(hours(spark, sf_dir))
+    return _layer(spark, sf_dir, "silver", build, ("year", "month"))
 
 
 def training_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -302,6 +303,19 @@ def weather_union(spark, sf_dir):
     return weather_tables(spark, sf_dir)[0]
 
 
+@query
+def weather_local_hours(spark, sf_dir):
+    """Weather hours moved from UTC to the readings' local time, three hours behind."""
+    return weather.weather_union(*events.weather_files(spark, sf_dir), utc_offset_hours=-3)
+
+
+@query
+def weather_duplicate_hours(spark, sf_dir):
+    """Hours that the weather files and the complementary one both have."""
+    base, overlay = weather_tables(spark, sf_dir)
+    return weather.duplicate_hours(base.unionByName(overlay))
+
+
 @query
 def weather_overlay(spark, sf_dir):
     joined = weather.attach_weather(readings(spark, sf_dir), *weather_tables(spark, sf_dir))
@@ -432,6 +446,11 @@ def regression_metrics(spark, sf_dir):
     return metrics.regression_metrics(_naive(spark, sf_dir), FLOW_CHANGE, "predicted", (STATION,))
 
 
+@query
+def raw_errors(spark, sf_dir):
+    return metrics.raw_errors(_naive(spark, sf_dir), FLOW_CHANGE, "predicted", (STATION,))
+
+
 @query
 def time_folds(spark, sf_dir):
     return metrics.time_folds(silver_table(spark, sf_dir)).select(STATION, TS, "fold_block")
@@ -563,23 +582,36 @@ def real_vs_forecast_split(spark, sf_dir):
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests by year, month, day and hour: every station at one o'clock, this year and long after."""
-    at_one = silver_table(spark, sf_dir).filter("hour = 1").select(STATION, "year", "month", "day", "hour")
-    return at_one.unionByName(at_one.withColumn("year", F.col("year") + 6))
+    """Requests by year, month, day and hour: every hour of every station, and long after."""
+    asked = silver_table(spark, sf_dir).select(STATION, "year", "month", "day", "hour")
+    return asked.unionByName(asked.withColumn("year", F.col("year") + 6))
+
+
+def requested_paths(spark: SparkSession, sf_dir: str, asked: DataFrame) -> DataFrame:
+    """Paths of the requested anchors, from the hours that they need and no others."""
+    table = silver_table(spark, sf_dir)
+    needed = forecast.near_anchors(table, forecast.anchors_of(asked), before=48)
+    return forecast.with_paths(with_seasonal_changes(needed.select(*table.columns)))
 
 
 @query
 def forecast_requests(spark, sf_dir):
-    return forecast.forecasts_for(requests(spark, sf_dir), paths(spark, sf_dir))
+    asked = requests(spark, sf_dir)
+    return forecast.forecasts_for(asked, requested_paths(spark, sf_dir, asked))
 
 
 @query
 def unmatched_requests(spark, sf_dir):
     asked = requests(spark, sf_dir)
-    found = forecast.forecasts_for(asked, paths(spark, sf_dir))
+    found = forecast.forecasts_for(asked, requested_paths(spark, sf_dir, asked))
     return forecast.unmatched_anchors(forecast.anchors_of(asked), found)
 
 
+@query
+def first_forecast_rows(spark, sf_dir):
+    return forecast.first_rows(forecast.forecast_rows(paths(spark, sf_dir)), 5)
+
+
 @query
 def depletion_path(spark, sf_dir):
     return depletion.depletion_rows(silver_table(spark, sf_dir), depleted(spark, sf_dir))

@@ -1,7 +1,8 @@
 """Batch jobs: each reads tables of one layer and writes tables of the next.
 
 bronze readings and weather -> silver -> training set -> models -> gold answers. Paths are
-those of the cluster's shared storage.
+those of the cluster's shared storage. Tables are replaced in one step: whoever reads while a job
+runs, or after one has died, sees the version before.
 """
 
 from __future__ import annotations
@@ -23,7 +24,15 @@ from ..operators import (
 )
 from ..operators.slices import Slices
 from ..schemas import SILVER, STATION, TS
-from ..sources.tables import read_table, use_utc, write_table
+from ..sources.tables import (
+    in_parts,
+    read_table,
+    replace_parts,
+    touched_parts,
+    use_utc,
+    write_parts,
+    write_version,
+)
 
 
 def silver_job(
@@ -38,6 +47,18 @@ def silver_job(
     """Bronze to silver, stored by year and month; repair segments are a table too."""
     use_utc(spark)
     bronze = read_table(spark, readings)
+    table = _silver_of(spark, bronze, weather_files, overlay_file, utc_offset_hours, segments_file)
+    write_version(table, out, partition_by=("year", "month"))
+
+
+def _silver_of(
+    spark: SparkSession,
+    bronze: DataFrame,
+    weather_files: tuple[str, str],
+    overlay_file: str | None,
+    utc_offset_hours: int = 0,
+    segments_file: str | None = None,
+) -> DataFrame:
     base = weather.weather_union(*[read_table(spark, f) for f in weather_files], utc_offset_hours)
     base, overlay = _unique_hours(base), None
     if overlay_file is not None:
@@ -45,15 +66,38 @@ def silver_job(
         overlay = _unique_hours(overlay)
     slices = Slices.fit(repair.set_up(bronze))
     if segments_file is None:
-        table = hourly.silver(bronze, base, overlay, slices)
-    else:
-        plan = read_table(spark, segments_file, segments.SEGMENTS)
-        if not segments.broken_segments(plan).isEmpty():
-            raise ValueError("repair segments that the walk cannot apply")
-        repaired = repair.fix_readings(bronze, plan, slices)
-        joined = hourly.combined_readings(repaired, base, overlay, slices)
-        table = hourly.silver_from_hours(hourly.hourly_agg(joined))
-    write_table(table, out, ("year", "month"))
+        return hourly.silver(bronze, base, overlay, slices)
+    plan = read_table(spark, segments_file, segments.SEGMENTS)
+    if not segments.broken_segments(plan).isEmpty():
+        raise ValueError("repair segments that the walk cannot apply")
+    repaired = repair.fix_readings(bronze, plan, slices)
+    joined = hourly.combined_readings(repaired, base, overlay, slices)
+    return hourly.silver_from_hours(hourly.hourly_agg(joined))
+
+
+def silver_parts_job(
+    spark: SparkSession,
+    readings: str,
+    weather_files: tuple[str, str],
+    overlay_file: str | None,
+    out: str,
+    parts: int = 256,
+    new_readings: str | None = None,
+    **options,
+) -> None:
+    """Silver in parts by station; with ``new_readings`` only what they change is made anew.
+
+    ``readings`` has the new ones too. A reading moves the profiles and the fills of its whole
+    station, in all years, and of no other: so the parts of the stations that have new readings
+    are rebuilt from these stations' readings, and no other file is read for it or written.
+    """
+    bronze = read_table(use_utc(spark), readings)
+    if new_readings is None:
+        write_parts(_silver_of(spark, bronze, weather_files, overlay_file, **options), out, STATION, parts)
+        return
+    touched = touched_parts(read_table(spark, new_readings), out)
+    changed = _silver_of(spark, in_parts(bronze, out, touched), weather_files, overlay_file, **options)
+    replace_parts(changed, out, touched)
 
 
 def _unique_hours(table: DataFrame) -> DataFrame:
@@ -68,7 +112,7 @@ def _silver(spark: SparkSession, path: str) -> DataFrame:
 
 
 def training_job(spark: SparkSession, silver: str, out: str) -> None:
-    write_table(features.training_set(_silver(spark, silver)), out)
+    write_version(features.training_set(_silver(spark, silver)), out)
 
 
 def models_job(
@@ -83,7 +127,7 @@ def models_job(
 
 def evaluation_job(spark: SparkSession, training: str, boundary: str, folder: str, out: str) -> None:
     _, after = models.time_split(read_table(use_utc(spark), training), boundary)
-    write_table(models.evaluation_rows(models.load_models(spark, folder), after), out)
+    write_version(models.evaluation_rows(models.load_models(spark, folder), after), out)
 
 
 def states_job(spark: SparkSession, silver: str, training: str, folder: str, out: str) -> None:
@@ -91,7 +135,7 @@ def states_job(spark: SparkSession, silver: str, training: str, folder: str, out
     table = _silver(spark, silver)
     changes = models.predicted_changes(models.load_models(spark, folder), read_table(spark, training))
     paths = forecast.with_paths(table.join(changes, [STATION, TS], "left"))
-    write_table(states.states(depletion.with_depletion(paths)), out)
+    write_version(states.states(depletion.with_depletion(paths)), out)
 
 
 def forecast_job(
@@ -108,8 +152,8 @@ def forecast_job(
         anchors, (rows[STATION] == anchors[STATION]) & (rows[TS] == anchors["anchor"]), "left_semi"
     )
     changes = models.predicted_changes(models.load_models(spark, folder), rows, (STATION, TS, forecast.FLOW))
-    write_table(forecast.forecast_rows(forecast.with_paths(changes)), out)
-    write_table(forecast.unmatched_anchors(anchors, read_table(spark, out)), unmatched)
+    write_version(forecast.forecast_rows(forecast.with_paths(changes)), out)
+    write_version(forecast.unmatched_anchors(anchors, read_table(spark, out)), unmatched)
 
 
 def search_job(
@@ -117,7 +161,7 @@ def search_job(
 ) -> None:
     """The search over time folds: each grid point with its mean error, best first."""
     rows = read_table(use_utc(spark), training)
-    write_table(models.grid_search(rows, variant, horizon, **search), out)
+    write_version(models.grid_search(rows, variant, horizon, **search), out)
 
 
 def answers_job(spark: SparkSession, silver: str, folder: str) -> None:
@@ -130,7 +174,7 @@ def answers_job(spark: SparkSession, silver: str, folder: str) -> None:
         "weather_corr": answers.weather_corr(table),
     }
     for name, df in gold.items():
-        write_table(df, f"{folder}/{name}")
+        write_version(df, f"{folder}/{name}")
 
 
 def schedules_job(spark: SparkSession, states_path: str, requests: DataFrame, out: str, **search) -> None:
@@ -145,4 +189,4 @@ def schedules_job(spark: SparkSession, states_path: str, requests: DataFrame, ou
         F.weekofyear("anchor").alias("week_of_year"),
     )
     found = states.state_lookup(keys, searchable).withColumn(TS, F.col("anchor"))
-    write_table(schedule.best_random_schedule(found, **search), out)
+    write_version(schedule.best_random_schedule(found, **search), out)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import json
 import tempfile
 from collections.abc import Callable
 from pathlib import Path
@@ -19,6 +20,10 @@ def use_utc(spark: SparkSession) -> SparkSession:
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """A Parquet table; the current version where ``path`` has versions."""
+    version = current_version(spark, path)
+    if version is not None:
+        path = f"{path}/{version[0]}"
     reader = spark.read if schema is None else spark.read.schema(schema)
     return reader.parquet(path)
 
@@ -97,7 +102,9 @@ def layer_path(name: str, source: DataFrame) -> str:
     return f"{shared_folder(source.sparkSession)}/{name}-{content_key(source)}"
 
 
-def stored_once(name: str, source: DataFrame, build: Callable[[], DataFrame]) -> DataFrame:
+def stored_once(
+    name: str, source: DataFrame, build: Callable[[], DataFrame], partition_by: tuple[str, ...] = ()
+) -> DataFrame:
     """A layer built from ``source``, written when first asked for.
 
     Its name holds the input's file listing and the code's version: other files or changed code
@@ -105,7 +112,7 @@ def stored_once(name: str, source: DataFrame, build: Callable[[], DataFrame]) ->
     """
     spark, path = source.sparkSession, layer_path(name, source)
     if current_version(spark, path) is None:
-        write_version(build(), path)
+        write_version(build(), path, partition_by=partition_by)
     return read_version(spark, path)[0]
 
 
@@ -117,19 +124,38 @@ def _file_system(spark: SparkSession, path: str):
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
-def current_version(spark: SparkSession, path: str) -> tuple[str, str] | None:
-    """Folder and label of the version that readers of ``path`` are to see."""
+def _pointed(spark: SparkSession, path: str) -> str | None:
+    """What the pointer file of ``path`` says; None where there is none."""
     files, pointer = _file_system(spark, f"{path}/{POINTER}")
     if not files.exists(pointer):
         return None
     stream = files.open(pointer)
     text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
     stream.close()
-    folder, label = text.rstrip("\n").split(" ", 1)
-    return folder, label
+    return text.rstrip("\n")
+
+
+def _point(spark: SparkSession, path: str, text: str) -> None:
+    """Put a pointer file in place by one rename: readers see the old text or the new one."""
+    files, draft = _file_system(spark, f"{path}/{POINTER}-{uuid4().hex}")
+    out = files.create(draft, True)
+    out.write(bytearray(f"{text}\n".encode()))
+    out.close()
+    _, pointer = _file_system(spark, f"{path}/{POINTER}")
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.toUri(), spark._jsc.hadoopConfiguration())
+    options = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    replace = spark.sparkContext._gateway.new_array(options, 1)
+    replace[0] = options.OVERWRITE
+    context.rename(files.makeQualified(draft), files.makeQualified(pointer), replace)
 
 
-def write_version(df: DataFrame, path: str, label: str = "", partition_by: tuple[str, ...] = (), keep: int = 1) -> None:
+def current_version(spark: SparkSession, path: str) -> tuple[str, str] | None:
+    """Folder and label of the version that readers of ``path`` are to see."""
+    text = _pointed(spark, path)
+    return None if text is None else tuple(text.split(" ", 1))
+
+
+def write_version(df: DataFrame, path: str, label: str = "", partition_by: tuple[str, ...] = ()) -> None:
     """Replace the table at ``path`` in one step.
 
     The files go to a folder of their own; then a pointer file is put in place by one rename, and
@@ -141,22 +167,12 @@ def write_version(df: DataFrame, path: str, label: str = "", partition_by: tuple
     before = current_version(spark, path)
     folder = f"v{uuid4().hex}"
     write_table(df, f"{path}/{folder}", partition_by)
-    _, draft = _file_system(spark, f"{path}/{POINTER}-{folder}")
-    out = files.create(draft, True)
-    out.write(bytearray(f"{folder} {label}\n".encode()))
-    out.close()
-    _, pointer = _file_system(spark, f"{path}/{POINTER}")
-    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(root.toUri(), spark._jsc.hadoopConfiguration())
-    options = spark._jvm.org.apache.hadoop.fs.Options.Rename
-    replace = spark.sparkContext._gateway.new_array(options, 1)
-    replace[0] = options.OVERWRITE
-    qualified = lambda p: files.makeQualified(p)
-    context.rename(qualified(draft), qualified(pointer), replace)
-    kept = {folder, before[0] if before and keep else ""}
-    for status in files.listStatus(root):
+    _point(spark, path, f"{folder} {label}")
+    for status in files.listStatus(root) if before else ():
         name = status.getPath().getName()
         # Another writer's folder, newer than the version before, may still be in the making.
-        if status.isDirectory() and name not in kept and before and status.getModificationTime() < _time_of(files, root, before[0]):
+        old = status.getModificationTime() < _time_of(files, root, before[0])
+        if status.isDirectory() and old and name not in (folder, before[0]):
             files.delete(status.getPath(), True)
 
 
@@ -173,3 +189,93 @@ def read_version(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
     if version is None:
         raise FileNotFoundError(f"no version of a table at {path}")
     return spark.read.parquet(f"{path}/{version[0]}"), version[1]
+
+
+# --- tables in parts by key -------------------------------------------------------------
+
+PART = "part"
+
+
+def part_of(key: str, parts: int):
+    """The part that a key's rows are in, a column."""
+    return F.pmod(F.xxhash64(F.col(key)), F.lit(parts)).cast("int")
+
+
+def write_parts(df: DataFrame, path: str, key: str, parts: int = 256) -> None:
+    """Replace the table at ``path`` by ``df`` in parts by hash of ``key``, in one step."""
+    folder = f"v{uuid4().hex}"
+    _write_parts(df, f"{path}/{folder}", key, parts)
+    _point(df.sparkSession, path, json.dumps({"key": key, "parts": parts, "folders": {str(i): folder for i in range(parts)}}))
+
+
+def _write_parts(df: DataFrame, path: str, key: str, parts: int) -> None:
+    rows = df.withColumn(PART, part_of(key, parts))
+    rows.repartition(PART).write.partitionBy(PART).parquet(path)
+
+
+def _manifest(spark: SparkSession, path: str) -> dict:
+    text = _pointed(spark, path)
+    if text is None:
+        raise FileNotFoundError(f"no table in parts at {path}")
+    return json.loads(text)
+
+
+def touched_parts(changed: DataFrame, path: str) -> list[int]:
+    """The parts that the keys of ``changed`` are in; no more numbers than parts."""
+    manifest = _manifest(changed.sparkSession, path)
+    found = changed.select(part_of(manifest["key"], manifest["parts"]).alias(PART)).distinct().collect()
+    return sorted(r[0] for r in found)
+
+
+def in_parts(rows: DataFrame, path: str, parts: list[int]) -> DataFrame:
+    """The rows whose keys are in these parts of the table at ``path``."""
+    manifest = _manifest(rows.sparkSession, path)
+    return rows.where(part_of(manifest["key"], manifest["parts"]).isin(parts))
+
+
+def replace_parts(df: DataFrame, path: str, parts: list[int]) -> None:
+    """Replace these parts by ``df``, which has all of their rows; the others stay as files.
+
+    New files go to a folder of their own, then the list of folders is put in place by one rename.
+    Files that the new list doesn't name stay until ``clean_parts``, for readers on their way.
+    """
+    spark = df.sparkSession
+    manifest = _manifest(spark, path)
+    folder = f"v{uuid4().hex}"
+    _write_parts(df, f"{path}/{folder}", manifest["key"], manifest["parts"])
+    manifest["folders"] |= {str(p): folder for p in parts}
+    _point(spark, path, json.dumps(manifest))
+
+
+def _part_folders(spark: SparkSession, path: str) -> list[str]:
+    """Folders of the current parts that have rows."""
+    files, _ = _file_system(spark, path)
+    folders = _manifest(spark, path)["folders"]
+    there = {}
+    for folder in set(folders.values()):
+        _, at = _file_system(spark, f"{path}/{folder}")
+        there[folder] = {s.getPath().getName() for s in files.listStatus(at)}
+    return [f"{path}/{f}/{PART}={p}" for p, f in folders.items() if f"{PART}={p}" in there[f]]
+
+
+def read_parts(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    folders = _part_folders(spark, path)
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+
+def clean_parts(spark: SparkSession, path: str) -> None:
+    """Delete the files of parts that were replaced. No reader of an older list may be running."""
+    files, root = _file_system(spark, path)
+    kept = set(_part_folders(spark, path))
+    used = set(_manifest(spark, path)["folders"].values())
+    for status in files.listStatus(root):
+        folder = status.getPath().getName()
+        if not status.isDirectory():
+            continue
+        if folder not in used:
+            files.delete(status.getPath(), True)
+            continue
+        for part in files.listStatus(status.getPath()):
+            name = part.getPath().getName()
+            if name.startswith(f"{PART}=") and f"{path}/{folder}/{name}" not in kept:
+                files.delete(part.getPath(), True)
