@@ -41,3 +41,31 @@ def test_text_ends_a_head_and_raw_text_goes_on():
 
 def test_many_open_tags_take_linear_time():
     assert len(texts("<object><p>x" * 20_000)) == 20_000
+
+
+STORY = "A story of wells that goes on for a while and then some more, about water."
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f"<article><p title=it's>{STORY}</p><p>{STORY}</p><p class='x' title=that's>{STORY}</p></article>", [STORY] * 3),
+        (f"<article class='post tags-news category'><p>{STORY}</p></article>", [STORY]),
+        (f"<div class='social-issues story'><p>{STORY}</p></div>", [STORY]),
+        (f"<main><p>{STORY}</p><div id='userComments'><p>{STORY}</p></div></main>", [STORY]),
+        (f"<main><p>{STORY}</p><div class='relatedposts'><p>{STORY}</p></div></main>", [STORY]),
+        (f"<article><header><h1>Of wells</h1><p class=byline>By me</p></header><p>{STORY}</p></article>", ["Of wells", STORY]),
+        (f"<header><h1>The Paper</h1></header><article><p>{STORY}</p></article>", [STORY]),
+        (f"<article class=comment><p>{STORY}</p></article><article><p>{STORY}</p></article>", [STORY]),
+    ],
+)
+def test_names_and_attributes(page, want):
+    assert html_text.main_blocks(page, html_text.trained()) == want
+
+
+def test_links_around_blocks():
+    linked = lambda page: [(b.words, b.linked) for b in html_text.flat_blocks(page)]
+    assert linked("<a href=x><div>one two</div><p>three</p></a><p>four</p>") == [(2, 2), (1, 1), (1, 0)]
+    # One that isn't closed ends with its block.
+    assert linked("<p><a href=x>one</p><p>two</p><p>three <a href=y>four</a></p>") == [(1, 1), (1, 0), (2, 1)]
+    assert linked("<p><a href=x>one</p><p>two</p>") == [(1, 1), (1, 0)]

@@ -61,12 +61,14 @@ _HEADINGS = {f"h{i}" for i in range(1, 7)}
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>?"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?",
+    r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>?",
     re.S,
 )
 _RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in _RAW}
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
-_WORD = re.compile(r"[^\W\d_]+", re.U)
+# Words of a name: between separators, and from a small to a capital letter.
+_WORD = re.compile(r"(?:[A-Z]+(?![a-z])|[^\W\d_](?:(?![A-Z])[^\W\d_])*)")
+_ANCHOR = re.compile(r"<(/?)a(?=[\s>/])", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
 _VOID = {"hr", "input", "br", "img"}
 
@@ -83,16 +85,28 @@ class Block:
     hidden: bool
 
 
+#: A name without separators that begins with a word of at least this length is taken for that word.
+_LONG = 7
+
+
+def _is_chrome(word: str) -> bool:
+    return word in _CHROME_NAMES or any(word.startswith(c) for c in _CHROME_NAMES if len(c) >= _LONG)
+
+
 def purpose(tag: str, attributes: str) -> int:
-    """What an element is for, by its names first and its tag second."""
-    found = {w.lower() for m in _NAMES.finditer(attributes) for w in _WORD.findall(m[1] or m[2] or m[3] or "")}
-    if found & _CHROME_NAMES:
-        return CHROME
-    if tag in _CHROME_TAGS:
+    """What an element is for: by a whole name, by its tag, or by a word within a name.
+
+    ``story`` says more than the ``social`` of ``social-issues``, and so does the tag ``article``.
+    """
+    names = [n for m in _NAMES.finditer(attributes) for n in (m[1] or m[2] or m[3] or "").split()]
+    if any(n.lower() in _CHROME_NAMES for n in names):
         return CHROME
-    if tag in _CONTENT_TAGS or found & _CONTENT_NAMES:
+    if tag in _CONTENT_TAGS or any(n.lower() in _CONTENT_NAMES for n in names) and tag not in _CHROME_TAGS:
         return CONTENT
-    return UNKNOWN
+    words = {w.lower() for n in names for w in _WORD.findall(n)}
+    if tag in _CHROME_TAGS or any(map(_is_chrome, words)):
+        return CHROME
+    return CONTENT if words & _CONTENT_NAMES else UNKNOWN
 
 
 def ends(page: str, at: int) -> dict[int, int]:
@@ -113,6 +127,12 @@ def ends(page: str, at: int) -> dict[int, int]:
     return found
 
 
+def _in_its_header(stack: list[tuple[str, int, bool]]) -> bool:
+    """Whether a heading stands in the header of what is content."""
+    told = [(name, p) for name, p, _ in stack if p]
+    return len(told) > 1 and told[-1] == ("header", CHROME) and told[-2][1] == CONTENT
+
+
 def flat_blocks(page: str) -> list[Block]:
     """The text blocks of a page in page order."""
     out: list[Block] = []
@@ -120,6 +140,7 @@ def flat_blocks(page: str) -> list[Block]:
     text: list[str] = []
     linked: list[str] = []
     link, tag, at, own = 0, 0, 0, UNKNOWN
+    anchor = None  # the next tag of a link, once it was looked for
     head, closed = False, None
 
     def add(raw: str) -> None:
@@ -134,6 +155,8 @@ def flat_blocks(page: str) -> list[Block]:
         whole = " ".join(html.unescape("".join(text)).split())
         if whole:
             inside = own or next((p for _, p, _ in reversed(stack) if p), UNKNOWN)
+            if tag == 2 and not own and _in_its_header(stack):
+                inside = CONTENT
             n, k = len(whole.split()), len(html.unescape("".join(linked)).split())
             out.append(Block(whole, n, k, tag, inside, any(h for _, _, h in stack)))
         text.clear()
@@ -173,7 +196,12 @@ def flat_blocks(page: str) -> list[Block]:
             add(" ")
         elif name in _BLOCK:
             close()
-            tag, own, link = 0, UNKNOWN, 0
+            tag, own = 0, UNKNOWN
+            if link:
+                # A link goes on over blocks if it is closed before another one begins.
+                if anchor is None or anchor.start() < at:
+                    anchor = _ANCHOR.search(page, at)
+                link = int(anchor is not None and anchor[1] == "/")
             if name in _CONTAINER:
                 if not end and not rest.endswith("/"):
                     stack.append((name, purpose(name, rest), bool(_HIDDEN.search(rest))))
