@@ -94,7 +94,8 @@ def hours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _layer(
     spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame], partition_by: tuple[str, ...] = ()
 ) -> DataFrame:
-    return stored_once(name, events.events(spark, sf_dir), build, partition_by)
+    """A stored layer in buckets by station: windows over it and what states join need no shuffle."""
+    return stored_once(name, events.events(spark, sf_dir), build, partition_by, (STATION, TS))
 
 
 def silver_table(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,14 +103,22 @@ def layer_path(name: str, source: DataFrame) -> str:
 
 
 def stored_once(
-    name: str, source: DataFrame, build: Callable[[], DataFrame], partition_by: tuple[str, ...] = ()
+    name: str,
+    source: DataFrame,
+    build: Callable[[], DataFrame],
+    partition_by: tuple[str, ...] = (),
+    bucket_by: tuple[str, str] | None = None,
 ) -> DataFrame:
-    """A layer built from ``source``, written when first asked for.
+    """A layer built from ``source``, written when first asked for; in buckets by key and order.
 
     Its name holds the input's file listing and the code's version: other files or changed code
     make a new table. It is put in place whole, whoever else builds it at the same time.
     """
     spark, path = source.sparkSession, layer_path(name, source)
+    if bucket_by:
+        if current_version(spark, path) is None:
+            write_buckets(build(), path, *bucket_by, partition_by)
+        return read_buckets(spark, path)
     if current_version(spark, path) is None:
         write_version(build(), path, partition_by=partition_by)
     return read_version(spark, path)[0]
@@ -191,6 +199,57 @@ def read_version(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
     return spark.read.parquet(f"{path}/{version[0]}"), version[1]
 
 
+# --- tables in buckets ------------------------------------------------------------------
+
+
+def write_buckets(df: DataFrame, path: str, key: str, order: str, partition_by: tuple[str, ...] = (), buckets: int | None = None) -> None:
+    """``write_version`` of a table in buckets by ``key``: what groups by it needs no shuffle.
+
+    Within a folder of ``partition_by`` each bucket is one file, sorted by ``order``.
+    """
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folder = f"v{uuid4().hex}"
+    columns = [c for c in df.columns if c not in partition_by] + list(partition_by)
+    layout = {
+        "columns": [[c, df.schema[c].dataType.simpleString()] for c in columns],
+        "key": key,
+        "order": order,
+        "partition_by": list(partition_by),
+        "buckets": buckets,
+    }
+    dealt = df.select(*columns).repartition(buckets, key)
+    writer = dealt.write.format("parquet").bucketBy(buckets, key).sortBy(key, order)
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.option("path", f"{path}/{folder}").saveAsTable(_table_name(f"{path}/{folder}"))
+    _point(spark, path, f"{folder} {json.dumps(layout)}")
+
+
+def _table_name(path: str) -> str:
+    return f"layer_{hashlib.sha256(path.encode()).hexdigest()[:24]}"
+
+
+def read_buckets(spark: SparkSession, path: str) -> DataFrame:
+    """The table that ``write_buckets`` put at ``path`` last; Spark knows its buckets.
+
+    A session that didn't write it declares it from the layout that the pointer file holds.
+    """
+    folder, text = current_version(spark, path)
+    name, at, layout = _table_name(f"{path}/{folder}"), f"{path}/{folder}", json.loads(text)
+    if not spark.catalog.tableExists(name):
+        columns = ", ".join(f"`{c}` {kind}" for c, kind in layout["columns"])
+        parts = f"PARTITIONED BY ({', '.join(layout['partition_by'])})" if layout["partition_by"] else ""
+        spark.sql(
+            f"""CREATE TABLE {name} ({columns}) USING parquet {parts}
+            CLUSTERED BY ({layout['key']}) SORTED BY ({layout['key']}, {layout['order']}) INTO {layout['buckets']} BUCKETS
+            LOCATION '{at}'"""
+        )
+        if parts:
+            spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
+    return spark.table(name)
+
+
 # --- tables in parts by key -------------------------------------------------------------
 
 PART = "part"
