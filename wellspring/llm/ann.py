@@ -19,7 +19,8 @@ Broadcast: centroids (at most ``LISTS``), the rotation, and the trial queries.
 Cases: vectors that are null, zero, or hold null or non-finite components take no part, neither
 do rows without an id or with another number of components than most. A repeated query id is
 searched once, with its smallest vector; repeated rows are candidates each. No row with the
-query's id is its candidate. Extra columns are ignored.
+query's id is its candidate. Equal scores go to the smaller id. An empty table gives an empty
+result. Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ merge, so that the rows keep one length. Words beyond ``SHORT`` bytes take the s
 a heap in place of the scan. Words already seen come from a bounded cache.
 
 Cases: null is empty text (no ids, decoded to the empty text). Very long texts are cut into
-words piece by piece. Rows are independent of each other; repeated rows repeat their result.
+words piece by piece. Rows are independent of each other; repeated rows repeat their result. Of
+equal ranks the leftmost pair merges first. An empty table gives an empty result. Extra columns
+are ignored.
 """
 
 from __future__ import annotations

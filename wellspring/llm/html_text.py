@@ -7,8 +7,9 @@ extractor is built on the small labelled table below, says which blocks are main
 
 Cases: null and empty pages have empty text. Broken markup (tags not closed, pages cut off) is
 read as far as it goes: a head without end tag ends where the body begins, and elements that are
-never text are skipped only if they are closed. Repeated rows each get their result. Extra columns pass through
-``with_main_text``.
+never text are skipped only if they are closed. Long pages are read in whole. Equal splits of the
+tree go to the first feature and threshold. Repeated rows each get their result. An empty table gives
+an empty result. Extra columns pass through ``with_main_text``.
 """
 
 from __future__ import annotations

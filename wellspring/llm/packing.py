@@ -9,7 +9,8 @@ dealt into groups of about ``GROUP``; a group ends with one sequence or two that
 Ids are cut once. What is stored and shuffled is a few numbers for each piece, never the ids.
 
 Cases: null and empty texts are the end id alone. Repeated rows and null ids are packed like
-any others, since pieces are told apart by a key of their own.
+any others, since pieces are told apart by a key of their own. Long documents are cut over as many
+sequences as they need. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ they are broadcast (16 bytes each). The raw model counts every word of every doc
 
 Cases: null and empty texts have weight 0. A document with contradicting labels counts as bad;
 labels without a document, or a null quality, are not used. Without good labels, or without any
-held-out ones, every document is kept. Repeated rows get equal results. Extra columns pass through.
+held-out ones, every document is kept. Repeated rows get equal results. Long texts are weighed in
+whole. An empty table gives an empty result. Extra columns pass through.
 """
 
 from __future__ import annotations

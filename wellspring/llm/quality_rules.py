@@ -12,7 +12,9 @@ its good documents to the rules. A stratum with too few labels for that gets no
 Everything is built-in functions: measures within the row, one grouped count for the holdout.
 
 Cases: null and empty texts have no words and fail the base test. A null language is a stratum
-of its own. A document with contradicting labels counts as bad. Repeated rows each get a result.
+of its own. A document with contradicting labels counts as bad. Repeated rows each get a result. Long texts are
+measured in whole; a value equal to a cutoff passes. An empty table gives an empty result. Extra
+columns are ignored.
 """
 
 from __future__ import annotations

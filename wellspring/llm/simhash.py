@@ -14,7 +14,8 @@ blocks, and every pair of its blocks meets in a task. Nothing is capped.
 
 Cases: null and empty texts (no word) have the fingerprint zero and are linked like any other.
 Repeated rows have equal fingerprints. Null ids are members of components; a component's id is
-its smallest id that is not null, null if there is none. Extra columns are ignored or, in
+its smallest id that is not null, null if there is none. Long texts are read in whole. An empty table
+gives an empty result. Extra columns are ignored or, in
 ``one_of_each``, passed through.
 """
 

@@ -22,7 +22,8 @@ No task holds a group.
 
 Cases: null, empty and short texts have no passage. Rows with one id are one document; rows that
 repeat both id and text share their result. Where words come back in short turns (one word, a
-pair of words, over and over) equal anchors of a document that overlap are one row. Extra columns
+pair of words, over and over) equal anchors of a document that overlap are one row. Long texts are
+read in whole. An empty table gives an empty result. Extra columns
 pass through ``without_repeats``.
 """
 
