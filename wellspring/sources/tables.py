@@ -77,15 +77,26 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def content_key(source: DataFrame) -> str:
-    """A name for the files that ``source`` reads and for this code, without reading a column.
+def content_key(source: DataFrame) -> tuple[str, int]:
+    """A name for the files that ``source`` reads and for this code, and the bytes of the files.
 
-    Paths, sizes and times of the files come from the scan's own metadata, summed up by the tasks.
+    Paths, sizes and times of the files come from the scan's own metadata, summed up by the tasks;
+    no column is read.
     """
     file = [F.col(f"_metadata.{c}") for c in ("file_path", "file_size", "file_modification_time")]
-    listing = source.select(F.xxhash64(*file).alias("h")).distinct()
-    count, total = listing.agg(F.count("*"), F.sum(F.col("h").cast("decimal(38,0)"))).first()
-    return hashlib.sha256(f"{code_version()} {count} {total}".encode()).hexdigest()[:24]
+    listing = source.select(F.xxhash64(*file).alias("h"), file[1].alias("size")).distinct()
+    count, total, size = listing.agg(F.count("*"), F.sum(F.col("h").cast("decimal(38,0)")), F.sum("size")).first()
+    return hashlib.sha256(f"{code_version()} {count} {total}".encode()).hexdigest()[:24], size or 0
+
+
+#: Input bytes that a bucket of a layer stands for, if there are enough of them.
+BUCKET_BYTES = 32 << 20
+
+
+def bucket_count(spark: SparkSession, size: int) -> int:
+    """One bucket a core, more for large inputs, up to the session's shuffle partitions."""
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(most, max(spark.sparkContext.defaultParallelism, size // BUCKET_BYTES)))
 
 
 @functools.cache
@@ -99,7 +110,7 @@ def code_version() -> str:
 
 
 def layer_path(name: str, source: DataFrame) -> str:
-    return f"{shared_folder(source.sparkSession)}/{name}-{content_key(source)}"
+    return f"{shared_folder(source.sparkSession)}/{name}-{content_key(source)[0]}"
 
 
 def stored_once(
@@ -114,10 +125,12 @@ def stored_once(
     Its name holds the input's file listing and the code's version: other files or changed code
     make a new table. It is put in place whole, whoever else builds it at the same time.
     """
-    spark, path = source.sparkSession, layer_path(name, source)
+    spark = source.sparkSession
+    key, size = content_key(source)
+    path = f"{shared_folder(spark)}/{name}-{key}"
     if bucket_by:
         if current_version(spark, path) is None:
-            write_buckets(build(), path, *bucket_by, partition_by)
+            write_buckets(build(), path, *bucket_by, partition_by, bucket_count(spark, size))
         return read_buckets(spark, path)
     if current_version(spark, path) is None:
         write_version(build(), path, partition_by=partition_by)
