@@ -7,14 +7,16 @@ with the ``k`` largest sums are then a sample without replacement in proportion
 
 The n-grams are single words and pairs of words, and the same of word shapes (case, symbols,
 length, repetition of the word before). ``k`` comes from labels that the models have not seen:
-half of the labelled documents fit the target model, the other half finds the lowest noisy
-weight that still separates good from bad best while keeping at least ``KEEP`` of the good ones;
-``k`` is the number of documents at or above it.
+half of the labelled documents fit the target model, the other half finds the weight, without
+noise, that separates good from bad best while keeping at least ``KEEP`` of the good ones; ``k``
+is the number of documents whose weight without noise reaches it. The ``k``-th largest noisy
+weight is found exactly, by counts of ranges that grow narrower (at most ``RANGES`` rows a round).
 
 At most ``LABELS`` labelled documents are used, those with the smallest hashes of their ids;
 they are broadcast (16 bytes each). The raw model counts every word of every document.
 
-Cases: null and empty texts have weight 0. A document with contradicting labels counts as bad;
+Cases: null and empty texts have weight 0. Equal noisy weights go by the smaller id, null last; rows
+with equal weight and id share their result, so they may go beyond ``k``. A document with contradicting labels counts as bad;
 labels without a document, or a null quality, are not used. Without good labels, or without any
 held-out ones, every document is kept. Repeated rows get equal results. Long texts are weighed in
 whole. An empty table gives an empty result. Extra columns pass through.
@@ -33,6 +35,8 @@ from .common import Words, blocks, mixed, prepare, stored
 BUCKETS = 1 << 14
 LABELS = 50_000
 KEEP = 0.995
+RANGES = 1 << 12
+LAST = 2**63 - 1
 SEED = 7
 
 _UPPER = np.zeros(256, bool)
@@ -141,7 +145,7 @@ def with_weights(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
 
 
 def cutoff(weights: np.ndarray, good: np.ndarray, keep: float = KEEP) -> float:
-    """A noisy weight with the best balanced accuracy among those that keep enough good ones.
+    """A weight with the best balanced accuracy among those that keep enough good ones.
 
     It lies halfway between the best that goes and the worst that stays.
     """
@@ -157,32 +161,75 @@ def cutoff(weights: np.ndarray, good: np.ndarray, keep: float = KEEP) -> float:
     return float((w[i - 1] + w[i]) / 2) if 0 < i < len(w) else -np.inf
 
 
-def top_k(weighed: DataFrame, threshold: float) -> Column:
-    """Member of the Gumbel top-k, with k the number of rows at or above ``threshold``."""
-    return F.col("noisy_weight") >= F.lit(threshold)
-
-
-def resample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with ``log_weight``, ``noisy_weight`` and ``kept``."""
+def kth(rows: DataFrame, column: str, k: int, largest: bool) -> float | int | None:
+    """The ``k``-th largest or smallest value of a column of doubles or longs without nulls."""
+    whole = isinstance(rows.schema[column].dataType, T.LongType)
+    low, high, n = rows.agg(F.min(column), F.max(column), F.count("*")).first()
+    if not 0 < k <= n:
+        return None
+    while low < high:
+        if whole:  # a product with RANGES is beyond a long
+            share = f"cast(({column} - {low}BD) * {RANGES} div {high - low}BD as int)"
+        else:
+            share = f"cast(floor(({column} - {low!r}D) / ({high!r}D - {low!r}D) * {RANGES}) as int)"
+        of = rows.where(F.col(column).between(low, high)).groupBy(F.expr(share).alias("range"))
+        # At most RANGES + 1 rows.
+        seen = of.agg(F.min(column).alias("low"), F.max(column).alias("high"), F.count("*").alias("n")).collect()
+        for r in sorted(seen, key=lambda r: r["range"], reverse=largest):
+            if k <= r.n:
+                low, high = r.low, r.high
+                break
+            k -= r.n
+    return low
+
+
+def top_k(weighed: DataFrame, k: int) -> Column:
+    """Member of the ``k`` largest ``(noisy_weight, -doc_id)`` of ``weighed``."""
+    bar = kth(weighed, "noisy_weight", k, largest=True)
+    if bar is None:
+        return F.lit(k > 0)
+    above, level = weighed.agg(
+        F.count_if(F.col("noisy_weight") > bar), F.count_if(F.col("noisy_weight") == bar)
+    ).first()
+    member = F.col("noisy_weight") >= bar
+    if above + level > k:
+        ids = weighed.where(F.col("noisy_weight") == bar).select(_id().alias("id"))
+        member &= (F.col("noisy_weight") > bar) | (_id() <= kth(ids, "id", k - above, largest=False))
+    return member
+
+
+def _id() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
+
+
+def sampled(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, DataFrame, Column]:
+    """The models' ratio, a stored table of ids and weights, and who is in the sample."""
     marks = stored(labelled(labels))
     ratio = fit(docs, marks)
-    weighed = with_weights(docs, ratio)
     chosen = docs.select("doc_id", "text").join(
         F.broadcast(marks.where("not __fit")), F.col("doc_id") == F.col("__id")
     )
     held = with_weights(chosen, ratio)
-    # One row per held-out label: bounded by LABELS (unless their documents repeat).
-    seen = held.groupBy("__id").agg(F.min("noisy_weight").alias("w"), F.first("__good").alias("g")).collect()
+    # One row per held-out label: bounded by LABELS.
+    seen = held.groupBy("__id").agg(F.min("log_weight").alias("w"), F.first("__good").alias("g")).collect()
     threshold = cutoff(np.array([r.w for r in seen]), np.array([r.g for r in seen], bool))
-    return weighed.withColumn("kept", top_k(weighed, threshold))
+    weighed = stored(with_weights(docs.select("doc_id", "text"), ratio).drop("text"))
+    k = weighed.where(F.col("log_weight") >= F.lit(threshold)).count()
+    return ratio, weighed, top_k(weighed, k)
 
 
 def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return resample(docs.select("doc_id", "text"), labels).drop("text")
+    """``doc_id, log_weight, noisy_weight, kept`` of every row."""
+    _, weighed, kept = sampled(docs, labels)
+    return weighed.withColumn("kept", kept)
 
 
 def only_kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that stay, with their own columns. Clashing names are set aside."""
+    """The documents that stay, with their own columns. Clashing names are set aside.
+
+    Their weights are computed once more, which is cheaper than to store the texts beside them.
+    """
     own = docs.columns
+    ratio, _, kept = sampled(docs, labels)
     apart = docs.select("doc_id", "text", F.struct(*own).alias("__own"))
-    return resample(apart, labels).where("kept").select("__own.*")
+    return with_weights(apart, ratio).where(kept).select("__own.*")
