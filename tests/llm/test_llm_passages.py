@@ -85,3 +85,65 @@ def test_decoys_with_more_words_on_one_side(spark, seed):
             texts.append([*prose(rnd, 20), *long[a : a + rnd.randint(45, 100)], *prose(rnd, 20)])
     got, want = cut(spark, texts)
     assert got == want and sum(map(len, want.values())) > 60 * 55
+
+
+def plain_windows(rows):
+    """Windows that ``_neighbours`` must give: those whose right part another document has."""
+    want = set()
+    for h, ctx, doc, left, words, windows in rows:
+        reach = 0
+        for h2, _, doc2, _, words2, _ in rows:
+            if h2 == h and doc2 != doc:
+                same = 0
+                while same < min(len(words), len(words2)) and words[same] == words2[same]:
+                    same += 1
+                reach = max(reach, same)
+        want |= {(h, ctx, i) for i in range(len(windows)) if 50 - (left - i) <= reach}
+    return want
+
+
+@pytest.mark.parametrize("size", [1, 3, 1000])
+@pytest.mark.parametrize("n_docs", [2, 40])
+def test_neighbours_reach_as_far_as_any_other_suffix(size, n_docs):
+    rnd = random.Random(size + n_docs)
+    rows = []
+    for ctx in range(300):
+        left = rnd.randint(0, 39)
+        n = rnd.randint(1, left + 1)
+        words = [7] * 11 + [rnd.choice([1, 1, 1, 1, 1, 2]) for _ in range(39)]
+        length = 50 - left + n - 1
+        rows.append((rnd.randint(-2, 2), ctx, rnd.randrange(n_docs), left, tuple(words[:length]), [ctx * 50 + i for i in range(n)]))
+    rows.sort(key=lambda r: (r[0], r[4], r[1]))
+    batches = []
+    for a in range(0, len(rows), size):
+        h, ctx, doc, left, words, windows = zip(*rows[a : a + size])
+        raw = [b"".join(w.to_bytes(4, "big") for w in x) for x in words]
+        columns = [pa.array(h), pa.array(ctx), pa.array(doc), pa.array(left, pa.int32())]
+        columns += [pa.array(raw, pa.binary()), pa.array(windows, pa.list_(pa.int64()))]
+        batches.append(pa.record_batch(columns, ["h", "ctx", "doc", "l", "words", "windows"]))
+    out = [r for b in suffix_dedup._neighbours(iter(batches)) for r in b.to_pylist()]
+    got = {(r["h"], r["ctx"], r["i"]) for r in out}
+    want = plain_windows(rows)
+    assert len(got) == len(out) and all(r["w"] == r["ctx"] * 50 + r["i"] for r in out)
+    border = set()  # rows at the ends whose neighbours are all of their own document
+    for ends in (rows, rows[::-1]):
+        for r in ends:
+            if r[2] != ends[0][2]:
+                break
+            border |= {(r[0], r[1], i) for i in range(len(r[5]))}
+    assert want <= got <= want | border and len(want) > 100
+
+
+def test_many_tasks_give_the_same(spark):
+    rnd = random.Random(31)
+    line = prose(rnd, 30)
+    texts = [[*prose(rnd, rnd.randint(0, 40)), *line, *prose(rnd, rnd.randint(20, 40), 2)] for _ in range(150)]
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got, want = cut(spark, texts)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert got == want

@@ -1,21 +1,30 @@
-"""Repeated passages across documents, by sparse windows.
+"""Repeated passages across documents, by sparse suffix arrays.
 
 A passage is a window of ``MIN_WORDS`` words. Of its ``GRAM``-word sequences the one with the smallest
 hash, the first of equal ones, is its minimiser. It is chosen by the words of the window alone,
-so equal windows hold equal minimisers at equal places, and every window is settled exactly once:
-by its minimiser. Consecutive windows with one minimiser make an anchor: the words that they
-cover, their number, and the minimiser's place.
+so equal windows hold equal minimisers at equal places, and every window belongs to just one: its
+minimiser. Suffixes are kept at minimisers only. Consecutive windows with one minimiser make an
+anchor: the words that they cover, their number, and the minimiser's place.
 
 Anchors with equal words (copies of documents, the inside of long passages) hold equal windows:
-they are settled by a grouped minimum without comparing windows. Windows are hashed one by one
-only for one of each kind of anchor whose minimiser is also that of another kind in another
-document; the smallest document of each window is again a grouped minimum. The repeated windows
-of an anchor overlap, so they are one stretch of words.
+they are settled by a grouped minimum, and one of each kind goes on. Where a minimiser has
+several kinds in several documents, their suffixes (at most ``MIN_WORDS`` words) are sorted over all
+tasks, and each is compared with its neighbours of other documents, before and after: no suffix of
+another document has more leading words in common with it than these. That is how far a match
+reaches right of the minimiser. From there matches are extended left: a window counts only if
+its right part is within that reach, and its whole content, left part included, is compared by a
+64-bit hash beside the minimiser's; the smallest document of each window is again a grouped
+minimum. (The neighbour alone may have other words on the left while a farther suffix has the
+right ones; a window's minimum sees both.) The repeated windows of an anchor overlap, so they are
+one stretch of words.
 
 The first document (smallest id, null last) keeps a passage, later ones lose it. Repetition
 within a document is left alone.
 
-How it stays bounded: anchors are narrow rows, about one for 20 words. Groups are only counted or
+How it stays bounded: anchors are narrow rows, about one for 20 words. The sort's key ends with
+the words on the left, so a passage with many openings is cut over many tasks. A task goes
+through its suffixes batch by batch. Those at a task's border, whose neighbour may be in another task,
+are taken as matching throughout, which costs windows but loses none. Groups are only counted or
 reduced to minima, which Spark does before the shuffle; what a group says goes back to its rows by
 a join of two stored tables, so that AQE can split the rows of a frequent line over many tasks.
 No task holds a group.
@@ -44,6 +53,8 @@ LAST = 2**63 - 1
 
 #: ``pos`` and ``until`` are the first and last place of the minimiser, ``l`` the words before it.
 ANCHOR = "doc long, rid long, h long, ctx long, pos int, until int, l int, n int"
+#: ``words`` are the suffix's words within the anchor as 32-bit hashes, ``windows`` hashes of its windows.
+SUFFIX = "h long, ctx long, doc long, l int, words binary, windows array<bigint>"
 WINDOW = "h long, ctx long, doc long, w long, i int"
 
 
@@ -119,9 +130,9 @@ def _identified(docs: DataFrame) -> DataFrame:
     )
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A hash of each window of the wanted anchors."""
-    names = [c.split()[0] for c in WINDOW.split(", ")]
+def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Suffixes at the wanted anchors' minimisers, and a hash of each of the anchors' windows."""
+    names = [c.split()[0] for c in SUFFIX.split(", ")]
     for batch in batches:
         for first, last in blocks(batch.column(2)):
             doc, _, text, wanted = (c.slice(first, last - first) for c in batch.columns)
@@ -130,12 +141,87 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row = np.repeat(np.arange(last - first), pc.list_value_length(wanted).to_numpy())
             flat = wanted.flatten()
             h, ctx, pos, before, n = (pc.struct_field(flat, f).to_numpy() for f in ("h", "ctx", "pos", "l", "n"))
-            anchor = np.repeat(np.arange(len(n)), n)
-            i = np.arange(len(anchor)) - (np.cumsum(n) - n)[anchor]
-            at = (words.first[row] + pos - before)[anchor] + i
-            hashes = mixed((sums[at + MIN_WORDS] - sums[at]) * down[at])
-            columns = [h[anchor], ctx[anchor], doc.to_numpy()[row][anchor], hashes.view(np.int64), i.astype(np.int32)]
-            yield pa.record_batch([pa.array(c) for c in columns], names)
+            place = words.first[row] + pos
+            inner, outer = _ranges(place, n + MIN_WORDS - 1 - before)
+            short = (words.hashes[inner] >> np.uint64(32)).astype(">u4").tobytes()
+            suffixes = pa.Array.from_buffers(
+                pa.binary(), len(n), [None, pa.py_buffer((4 * outer).astype(np.int32)), pa.py_buffer(short)]
+            )
+            at, ends = _ranges(place - before, n)
+            hashes = mixed((sums[at + MIN_WORDS] - sums[at]) * down[at]).view(np.int64)
+            windows = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(hashes))
+            columns = [pa.array(c) for c in (h, ctx, doc.to_numpy()[row], before.astype(np.int32))]
+            yield pa.record_batch([*columns, suffixes, windows], names)
+
+
+def _ranges(start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places ``start[i], .. start[i] + n[i] - 1`` for all i, and where each i's begin."""
+    ends = np.r_[0, np.cumsum(n)]
+    return np.arange(ends[-1]) + np.repeat(start - ends[:-1], n), ends
+
+
+def _common(h: np.ndarray, docs: np.ndarray, suffixes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Leading words in common with the nearest row of another document: before, after.
+
+    Rows are in order. Those that see only rows of their own document on a side have
+    ``MIN_WORDS`` there.
+    """
+    size = len(h)
+    length = pc.binary_length(suffixes).to_numpy() // 4
+    words = np.zeros((size, MIN_WORDS), np.uint32)
+    inside = np.arange(MIN_WORDS) < length[:, None]
+    words[inside] = np.frombuffer(b"".join(suffixes.to_pylist()), ">u4")
+    unlike = (words[1:] != words[:-1]) | ~(inside[1:] & inside[:-1])
+    near = np.where(unlike.any(axis=1), unlike.argmax(axis=1), MIN_WORDS)
+    near[h[1:] != h[:-1]] = 0
+    before, after = np.r_[MIN_WORDS, near], np.r_[near, MIN_WORDS]
+    cuts = np.r_[0, np.flatnonzero(docs[1:] != docs[:-1]) + 1, size]
+    for run in np.flatnonzero(np.diff(cuts) > 1):  # rows of one document that follow each other
+        a, b = cuts[run], cuts[run + 1]
+        before[a:b] = np.minimum.accumulate(near[a - 1 : b - 1]) if a else MIN_WORDS
+        after[a:b] = np.minimum.accumulate(near[a:b][::-1])[::-1] if b < size else MIN_WORDS
+    return before, after
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows whose right parts a neighbouring suffix shares. Rows come in order."""
+    names = [c.split()[0] for c in WINDOW.split(", ")]
+    held: pa.RecordBatch | None = None  # the last row of another document, and the rows after it
+    seen = 0  # how many rows of ``held`` were given out already
+    for batch in _with_end(batches):
+        if batch is not None and not batch.num_rows:
+            continue
+        parts = [b for b in (held, batch) if b is not None]
+        if not parts:
+            return
+        rows = pa.concat_batches(parts)
+        docs = rows.column(2).to_numpy()
+        before, after = _common(rows.column(0).to_numpy(), docs, rows.column(4))
+        # The last document's rows wait for the batch that follows.
+        other = np.flatnonzero(docs != docs[-1])
+        until = rows.num_rows if batch is None else (other[-1] + 1 if len(other) else 0)
+        some = rows.slice(seen, until - seen)
+        reach = np.maximum(before, after)[seen:until]
+        left = some.column(3).to_numpy()
+        values = some.column(5)
+        n = pc.list_value_length(values).to_numpy()
+        # Window i has left - i words before the minimiser and the rest from it on.
+        count = np.clip(reach - MIN_WORDS + left + 1, 0, n)
+        starts = np.r_[0, np.cumsum(n)][:-1]
+        at, _ = _ranges(starts, count)
+        row = np.repeat(np.arange(len(n)), count)
+        h, ctx, doc = (some.column(c).to_numpy()[row] for c in range(3))
+        hashes = values.flatten().to_numpy()[at]
+        yield pa.record_batch(
+            [pa.array(c) for c in (h, ctx, doc, hashes, (at - starts[row]).astype(np.int32))], names
+        )
+        first = max(0, until - 1)
+        held, seen = rows.slice(first), until - first
+
+
+def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -151,8 +237,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     by_doc = wanted.groupBy("doc", "rid").agg(
         F.collect_list(F.struct("h", "ctx", "pos", "l", "n")).alias("wanted")
     )
+    suffixes = stored(
+        named.join(by_doc, ["doc", "rid"]).select("doc", "rid", "text", "wanted").mapInArrow(_suffixes, SUFFIX)
+    )
+    order = ["h", "words", "ctx", "doc"]
     windows = stored(
-        named.join(by_doc, ["doc", "rid"]).select("doc", "rid", "text", "wanted").mapInArrow(_windows, WINDOW)
+        suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, WINDOW)
     )
     least = windows.groupBy("h", "w").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
     earlier = stored(least.where("least < most").select("h", "w", "least"))
