@@ -90,3 +90,31 @@ def test_few_vectors(spark):
     table = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (20, [2.0, 1.0])], "vec_id long, embedding array<float>")
     found = ann.search(table, table.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r.vec_id, r.score) for r in found] == [(0, 20, 2.0), (0, 1, 0.5), (20, 0, 2.0), (20, 1, 1.5)]
+
+
+def test_every_query_gets_its_number_where_a_third_are_copies(spark):
+    random = np.random.default_rng(17)
+    rows = random.standard_normal((1500, 16))
+    rows[:500] = rows[0]
+    rows[1450:] *= 30  # far from all others
+    ids = np.r_[np.arange(1480), np.full(20, 1480)]  # one id occurs twenty times
+    table = spark.createDataFrame(list(zip(ids.tolist(), rows.tolist(), strict=True)), "vec_id long, embedding array<double>")
+    found = ann.search(table.repartition(4), table.where("vec_id % 20 = 0")).collect()
+    queries = {int(i): rows[ids == i].tolist() for i in np.unique(ids[ids % 20 == 0])}
+    got = {q: [] for q in queries}
+    for r in found:
+        assert r.vec_id != r.query_id
+        got[r.query_id].append((r["rank"], r.score))
+    assert all(sorted(k for k, _ in x) == list(range(1, 21)) for x in got.values())
+    hit = 0
+    for q, vectors in queries.items():
+        best = np.sort((rows[ids != q] @ np.array(min(vectors))))[::-1][:20]
+        hit += sum(s >= best[-1] - 1e-9 for _, s in got[q])
+    assert hit >= 0.9 * 20 * len(queries)
+
+
+def test_probes_go_on_until_enough_rows():
+    order = np.array([[2, 0, 1], [1, 2, 0]])
+    sizes = np.array([10, 500, 3])
+    assert ann.probed(order, sizes, 1, np.array([20, 20])).tolist() == [3, 1]
+    assert ann.probed(order, sizes, 2, np.array([5, 1000])).tolist() == [2, 3]

@@ -11,7 +11,9 @@ nearest. What is left has its full distance, and its score on the original vecto
 Centroids are fitted on the ``SAMPLE`` vectors with the smallest hashes of their ids; every
 vector is in a list. How many lists to probe is measured, not assumed: for ``TRIALS`` queries the
 true neighbours are found by brute force, and as many lists are probed as hold ``COVERED`` of
-them. Lists are dealt to cells of about ``CELL`` vectors; a longer list goes to several cells,
+them; a query whose lists hold fewer than ``NEAREST`` other rows goes on to its next ones until
+they do. Starting centroids are distinct vectors, and lists that end up empty are left out, so a
+probe never goes to waste on one. Lists are dealt to cells of about ``CELL`` vectors; a longer list goes to several cells,
 so that copies of one vector need not meet. A task holds one cell and streams the queries by.
 
 Broadcast: centroids (at most ``LISTS``), the rotation, and the trial queries.
@@ -50,12 +52,11 @@ SEED = 11
 
 @dataclass(frozen=True)
 class Index:
-    """What every task needs: rotation, largest squared norm, centroids (rotated), probes."""
+    """What every task needs: rotation, largest squared norm, centroids (rotated)."""
 
     rotation: np.ndarray
     largest: float
     centroids: np.ndarray
-    probes: int = 0
 
     def rotated(self, vectors: np.ndarray, queries: bool = False) -> np.ndarray:
         own = np.einsum("ij,ij->i", vectors, vectors)
@@ -94,8 +95,9 @@ def fit_index(fit: DataFrame) -> Index | None:
     rotation, _ = np.linalg.qr(random.standard_normal((size, size)))
     index = Index(rotation, largest, np.zeros((0, size)))
     rows = index.rotated(vectors)
-    lists = min(LISTS, max(1, math.isqrt(n)), len(rows))
-    centroids = rows[random.choice(len(rows), lists, replace=False)].copy()
+    distinct = np.unique(rows, axis=0)
+    lists = min(LISTS, max(1, math.isqrt(n)), len(distinct))
+    centroids = distinct[random.choice(len(distinct), lists, replace=False)]
     for _ in range(ROUNDS):
         nearest = Index(rotation, largest, centroids).distances(rows).argmin(axis=1)
         count = np.bincount(nearest, minlength=lists)
@@ -153,6 +155,12 @@ def top(rows: DataFrame, key: str, *order_then_k) -> DataFrame:
     return ranked.where(F.col("rank") <= k)
 
 
+def probed(order: np.ndarray, sizes: np.ndarray, probes: int, wanted: np.ndarray) -> np.ndarray:
+    """How many lists each query probes: ``probes``, or more until they hold ``wanted`` rows."""
+    held = np.cumsum(sizes[order], axis=1)
+    return np.clip((held < wanted[:, None]).sum(axis=1) + 1, min(probes, order.shape[1]), order.shape[1])
+
+
 class Cell:
     """The vectors of one cell as blocks of columns."""
 
@@ -177,12 +185,12 @@ class Cell:
             rows, partial = rows[near], partial[near]
         return rows, partial
 
-    def search(self, query_id: int, vector: np.ndarray, query: np.ndarray, place: np.ndarray, nearest: int):
-        """The cell's best rows among the probed lists: ids and scores."""
-        probed = place[self.lists]
-        rows = np.flatnonzero((probed < self.index.probes) & (self.ids != query_id))
+    def search(self, query_id: int, vector: np.ndarray, query: np.ndarray, place: np.ndarray, probes: int, nearest: int):
+        """The cell's best rows among the ``probes`` nearest lists: ids and scores."""
+        places = place[self.lists]
+        rows = np.flatnonzero((places < probes) & (self.ids != query_id))
         if len(rows) > FIRST:
-            rows = rows[np.argpartition(probed[rows], FIRST)]
+            rows = rows[np.argpartition(places[rows], FIRST)]
         limit, found, gaps = np.inf, np.zeros(0, np.int64), np.zeros(0)
         start, step = 0, FIRST
         while start < len(rows):
@@ -223,9 +231,10 @@ def _search(batches: Iterator[pa.RecordBatch], index: Index, nearest: int) -> It
             vectors, ids = matrix(part.column(3)), part.column(2).to_numpy()
             rotated = index.rotated(vectors, queries=True)
             place = np.argsort(np.argsort(index.distances(rotated), axis=1, kind="stable"), axis=1)
+            probes = part.column(4).to_numpy()  # queries carry it in place of a list
             out: list[tuple[np.ndarray, ...]] = []
             for i, query_id in enumerate(ids):
-                found, scores = cell.search(query_id, vectors[i], rotated[i], place[i], nearest)
+                found, scores = cell.search(query_id, vectors[i], rotated[i], place[i], probes[i], nearest)
                 out.append((np.full(len(found), query_id), found, scores))
             columns = [pa.array(np.concatenate(c)) for c in zip(*out, strict=True)]
             yield pa.record_batch(columns, ["query_id", "vec_id", "score"])
@@ -248,12 +257,19 @@ def search(
     asked = taking_part(queries, id_column, column).where(F.size("vec") == size)
     asked = asked.groupBy("id").agg(F.min("vec").alias("vec"))
     assigned = stored(assign(fit, index))
-    probes = probes_needed(assigned, index, asked, nearest)
-    index = Index(index.rotation, index.largest, index.centroids, probes)
     # At most LISTS rows.
-    sizes = {r["list"]: r["count"] for r in assigned.groupBy("list").count().collect()}
-    cells = max(16, math.ceil(sum(sizes.values()) / CELL))
-    parts = np.array([max(1, math.ceil(sizes.get(i, 0) / CELL)) for i in range(len(index.centroids))])
+    counts = {r["list"]: r["count"] for r in assigned.groupBy("list").count().collect()}
+    used = np.array(sorted(counts))
+    renumbered = F.element_at(F.lit(np.searchsorted(used, np.arange(len(index.centroids))).tolist()), F.col("list") + 1)
+    assigned = assigned.withColumn("list", renumbered.cast("int"))
+    sizes = np.array([counts[i] for i in used])
+    index = Index(index.rotation, index.largest, index.centroids[used])
+    probes = probes_needed(assigned, index, asked, nearest)
+    # Rows with the query's own id are no candidates: their number comes on top.
+    own = assigned.groupBy("id").agg(F.count("*").alias("own"))
+    asked = asked.join(own, "id", "left").select("id", "vec", F.coalesce("own", F.lit(0)).alias("own"))
+    cells = max(16, math.ceil(sizes.sum() / CELL))
+    parts = -(-sizes // CELL)
     firsts = np.r_[0, np.cumsum(parts)][:-1]  # numbers of the lists' parts, one after the other
 
     many = F.element_at(F.lit(parts.tolist()), F.col("list") + 1)
@@ -269,10 +285,11 @@ def search(
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             distances = index.distances(index.rotated(matrix(batch.column(1)), queries=True))
-            near = np.argsort(distances, axis=1, kind="stable")[:, : index.probes]
+            near = np.argsort(distances, axis=1, kind="stable")
+            many = probed(near, sizes, probes, nearest + batch.column(2).to_numpy())
             goes = [
-                np.unique(np.concatenate([np.arange(firsts[x], firsts[x] + parts[x]) for x in row]) % cells)
-                for row in near
+                np.unique(np.concatenate([np.arange(firsts[x], firsts[x] + parts[x]) for x in row[:n]]) % cells)
+                for row, n in zip(near, many, strict=True)
             ]
             at = np.repeat(np.arange(len(goes)), [len(g) for g in goes])
             to = np.concatenate(goes) if goes else np.zeros(0, int)
@@ -281,7 +298,7 @@ def search(
                 pa.array(np.ones(len(at), bool)),
                 batch.column(0).take(pa.array(at)),
                 batch.column(1).take(pa.array(at)),
-                pa.array(np.full(len(at), -1, np.int32)),
+                pa.array(many[at].astype(np.int32)),
             ]
             yield pa.record_batch(columns, ["cell", "ask", "id", "vec", "list"])
 
