@@ -35,3 +35,21 @@ def test_another_session_declares_the_buckets(spark, tmp_path):
     declared = tables.read_buckets(spark, path)
     assert sorted(map(tuple, declared.select(*rows.columns).collect())) == sorted(map(tuple, rows.collect()))
     assert "Exchange" not in plan(declared.groupBy("station_id").count())
+
+
+def test_partitions_grow_with_the_input(spark, tmp_path, monkeypatch):
+    """A task's share stays the same: buckets and shuffle partitions follow the input's bytes."""
+    size, name = 1 << 16, "spark.sql.shuffle.partitions"
+    path = f"{tmp_path}/events.parquet"
+    spark.range(20_000).write.parquet(path)
+    before = {c: spark.conf.get(c) for c in (name, "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    try:
+        tables.spread(spark, path)
+        assert spark.conf.get(name) == before[name]  # a small input changes nothing
+        monkeypatch.setattr(tables, "BUCKET_BYTES", 1 << 10)
+        tables.spread(spark, path)
+        assert int(spark.conf.get(name)) > 40
+        assert tables.bucket_count(spark, size) == 64
+    finally:
+        for c, value in before.items():
+            spark.conf.set(c, value)

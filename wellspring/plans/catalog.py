@@ -29,7 +29,7 @@ from ..operators.slices import Slices
 from ..schemas import EVENT, FLOW_CHANGE, STATION, TS, WEATHER
 from ..sources import events
 from ..sources.stand_in import with_seasonal_changes
-from ..sources.tables import current_version, layer_path, stored_once, use_utc
+from ..sources.tables import current_version, layer_path, spread, stored_once, use_utc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -46,7 +46,7 @@ def query(build: Query) -> Query:
     """Register ``build``; doubles come out rounded so that engines can be compared."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rounded(build(use_utc(spark), sf_dir))
+        return rounded(build(spread(use_utc(spark), f"{sf_dir}/events.parquet"), sf_dir))
 
     QUERIES[build.__name__] = run
     return run
