@@ -74,3 +74,29 @@ def test_best_random_schedule(some_states):
         assert np.isclose(r.reward, hand) and 0 <= r.schedule < 1 << 24
     few = {(r.station_id, r.timestamp): r.reward for r in schedule.best_random_schedule(some_states, 5).collect()}
     assert all(r.reward >= few[r.station_id, r.timestamp] for r in best)
+
+
+@pytest.mark.parametrize("kind", schedule.REWARDS)
+def test_best_schedule_is_scored_in_batches(spark, some_states, kind):
+    """The best by ``reward_of``, nulls and NaN included, without an interpreted step per hour and candidate."""
+    candidates = [0, 16777215, 5592405, 12345]
+    i, level, flow = F.col("i"), "reservoir_level_percentage_mean", "input_flow_rate_mean"
+    odd = some_states.withColumn("i", F.hour("timestamp")).withColumns(
+        {
+            level: F.when(i == 3, F.lit(float("nan"))).when(i != 4, F.col(level)),
+            flow: F.when(i != 5, F.col(flow)),
+            states.forecast_column(7): F.when(i != 6, F.col(states.forecast_column(7))),
+        }
+    )
+    best = schedule.best_schedule(odd, candidates, kind)
+    plan = best._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "lambdafunction" not in plan
+    assert best.schema["schedule"].dataType.simpleString() == "int"
+    rewards = {}
+    for r in schedule.schedule_rewards(odd, candidates, kind).collect():
+        rewards.setdefault((r.station_id, r.timestamp), {})[r.candidate_id] = r.reward
+    for r in best.collect():
+        own = rewards[r.station_id, r.timestamp]
+        first = min(own, key=lambda c: (own[c] is not None and -own[c], c))
+        assert (r.candidate_id, r.schedule) == (first, candidates[first])
+        assert r.reward == own[first] or np.isclose(r.reward, own[first])
