@@ -53,3 +53,21 @@ def test_partitions_grow_with_the_input(spark, tmp_path, monkeypatch):
     finally:
         for c, value in before.items():
             spark.conf.set(c, value)
+
+
+def test_outcomes_join_hours_where_they_lie(spark):
+    """Hours of a station's bucket are not shuffled to meet their outcomes, nor to be stored."""
+    way = catalog.paths(spark, SF)
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    outcomes = lambda: depletion.with_depletion(catalog.paths(spark, SF)).hint("merge")
+    with tables.joins_in_place(spark):
+        assert spark.conf.get(name) == "false"
+        in_place = outcomes()
+        shuffles = [line for line in plan(in_place).splitlines() if "Exchange" in line]
+        assert len(shuffles) == 1  # of the outcomes alone
+        rows = sorted(map(str, in_place.collect()))
+    assert spark.conf.get(name) == before
+    assert rows == sorted(map(str, outcomes().collect()))
+    stored = catalog.depleted(spark, SF)
+    assert set(way.columns) - set(stored.columns) == {"change_no_weather", "change_weather", "flow_weather"}
