@@ -168,3 +168,62 @@ def test_words_by_class_come_from_the_head_or_the_join(spark):
         for i in whole:
             assert (whole[i].n_known, whole[i].base_score) == (few[i].n_known, pytest.approx(few[i].base_score, rel=1e-12))
             assert few[i].score == pytest.approx(whole[i].score, rel=1e-5)
+
+
+def small_model(seed):
+    """A model of few texts whose tables are random, and texts to score."""
+    rnd = random.Random(seed)
+    texts = [prose(rnd, n, 60) for n in (3, 900, 1, 120, 400)] + ["", "\u00e9t\u00e9 " * 70]
+    pairs = np.zeros(257 * 257)
+    codes = np.r_[256, lm_score.Stream(pa.array(texts)).codes.astype(np.int64)]
+    np.add.at(pairs, codes[:-1] * 257 + codes[1:], 1)
+    alphabet = lm_score.Alphabet.of(pairs.reshape(257, 257))
+    symbols, pair, _ = alphabet.contexts(lm_score.Stream(pa.array(texts)))
+    counts = np.zeros((lm_score.SLOTS[0], lm_score.SYMBOLS))
+    np.add.at(counts, (pair, symbols), 1)
+    tables = np.random.default_rng(seed).integers(-60, 60, sum(lm_score.SLOTS) * lm_score.SYMBOLS).astype(np.int8)
+    return lm_score.Model(alphabet, lm_score.Trees.of(counts), tables), texts
+
+
+def test_costs_of_a_text_do_not_depend_on_the_texts_beside_it():
+    model, texts = small_model(12)
+    stream = lm_score.Stream(pa.array(texts))
+    together = np.split(model.symbol_costs(stream), stream.first[1:-1])
+    for text, costs in zip(texts, together, strict=True):
+        assert model.symbol_costs(lm_score.Stream(pa.array([text]))) == pytest.approx(costs, rel=1e-6)
+
+
+def test_weights_are_learnt_from_every_bit():
+    """A plain loop over the bits of one text."""
+    model, texts = small_model(13)
+    stream = lm_score.Stream(pa.array([texts[1]]))
+    symbols, pair, slots = model.alphabet.contexts(stream)
+    begins = (0, int(model.alphabet.symbol[32]))
+    weights = np.tile(lm_score.START * lm_score.SCALE, (lm_score.GATES, 1))
+    bends, expected, read, step = np.zeros(lm_score.BINS), np.zeros(len(symbols)), 0, lm_score.PORTION
+    while read < len(symbols):
+        up, down = np.zeros_like(weights), np.zeros_like(weights)
+        bent_up, bent_down = np.zeros_like(bends), np.zeros_like(bends)
+        for i in range(read, min(read + step, len(symbols))):
+            code = pair[i] * lm_score.SYMBOLS + symbols[i]
+            first = model.trees.first[code]
+            expected[i] = math.log(256) if symbols[i] == lm_score.ESCAPE else 0
+            for depth, at in enumerate(model.trees.steps[first : first + model.trees.length[code]] % lm_score.STEPS):
+                sign = -1 if at & 1 else 1
+                x = np.array([model.tables[slots[o][i] * lm_score.SYMBOLS + (at >> 1)] for o in lm_score.MIXED], float)
+                gate = min(depth, 3) * 2 + (pair[i] // lm_score.SYMBOLS in begins)
+                mix = (weights[gate] * x).sum()
+                bin_ = int(min(max(mix * 2 + lm_score.BINS / 2, 0), lm_score.BINS - 1))
+                against = math.exp(min(max((mix + bends[bin_]) * sign, -30), 30))
+                expected[i] += math.log(1 + against)
+                miss = against / (1 + against)
+                up[gate] -= miss * sign * x
+                down[gate] += miss * (1 - miss) * x * x
+                bent_up[bin_] -= miss * sign
+                bent_down[bin_] += miss * (1 - miss)
+        weights += lm_score.RATE * up / (down + lm_score.PRIOR / lm_score.SCALE**2)
+        bends += lm_score.RATE * bent_up / (bent_down + lm_score.PRIOR)
+        read, step = read + step, min(2 * step, lm_score.PORTION_MOST)
+    found = model.symbol_costs(stream)
+    assert found.sum() == pytest.approx(expected.sum(), rel=1e-4)
+    assert np.abs(found - expected).max() < 0.05
